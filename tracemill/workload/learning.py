@@ -1 +1,384 @@
+"""Queries: similarity, rules, evaluation, trees and streams."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tracemill.operators import evaluation, rules, similarity, substrings
+from tracemill.operators.automata import prefix_automaton
+from tracemill.operators.blocks import as_text
+from tracemill.operators.sampling import stratified_split
+from tracemill.plans import learn
+from tracemill.session import durable, shared_folder
+from tracemill.sources.rules_text import parse_rules
+from tracemill.streaming import detect
+from tracemill.workload.registry import query
+from tracemill.workload.tables import (
+    PATTERNS_SQL,
+    SCORES_SQL,
+    SEQ_SQL,
+    coded_events,
+    feature_patterns,
+    load,
+)
+
+
+def events_and_patterns(spark, d):
+    """Stored events and the patterns mined from them."""
+    coded = durable(coded_events(spark, d))
+    return coded, durable(feature_patterns(coded).select("pattern_id", "grp", "len", "gram", "pattern"))
+
+
+def event_traces(coded):
+    """One row per trace with its class."""
+    return (
+        coded.groupBy("trace_id", "grp")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select("trace_id", F.concat(F.lit("g"), "grp").alias("label"))
+    )
+
+
+def event_features(spark, d):
+    coded, patterns = events_and_patterns(spark, d)
+    n = patterns.count()
+    scores = similarity.prefix_similarity(patterns, coded)
+    return similarity.feature_rows(event_traces(coded), scores, n), patterns, coded
+
+
+@query(
+    "match_lengths",
+    PATTERNS_SQL
+    + """SELECT p.pattern_id, occ.trace_id, occ.pos, max(k) AS match_len
+FROM patterns p, range(4, 21) AS t(k), occ
+WHERE k <= len(p.w) AND occ.w = p.w[1:k] GROUP BY ALL""",
+)
+def match_lengths(spark, d):
+    """At each position, how far each pattern matches from there; matches of four symbols or more."""
+    coded, patterns = events_and_patterns(spark, d)
+    return similarity.match_lengths(patterns, coded).select("pattern_id", "trace_id", "pos", "match_len")
+
+
+@query("prefix_similarity", SCORES_SQL + "SELECT trace_id, pattern_id, score FROM scores")
+def prefix_similarity(spark, d):
+    coded, patterns = events_and_patterns(spark, d)
+    return similarity.prefix_similarity(patterns, coded).select("trace_id", "pattern_id", "score")
+
+
+@query(
+    "feature_matrix",
+    SCORES_SQL
+    + """SELECT seq.trace_id, 'g' || seq.grp AS label,
+  string_agg(coalesce(score, 0)::VARCHAR, ' ' ORDER BY p.pattern_id) AS scores
+FROM seq CROSS JOIN patterns p
+LEFT JOIN scores s ON s.trace_id = seq.trace_id AND s.pattern_id = p.pattern_id
+GROUP BY seq.trace_id, seq.grp""",
+)
+def feature_matrix(spark, d):
+    rows, _, _ = event_features(spark, d)
+    return rows.select("trace_id", "label", as_text("scores").alias("scores"))
+
+
+@query("feature_maxima", SCORES_SQL + "SELECT pattern_id, max(score) AS max_score FROM scores GROUP BY pattern_id")
+def feature_maxima(spark, d):
+    coded, patterns = events_and_patterns(spark, d)
+    return similarity.feature_maxima(similarity.prefix_similarity(patterns, coded))
+
+
+@query(
+    "threshold_predicate",
+    SCORES_SQL
+    + """SELECT s.trace_id, s.pattern_id, len(p.w) - 2 AS k, array_to_string(p.w[1:len(p.w) - 2], ' ') AS prefix, s.score
+FROM scores s JOIN patterns p USING (pattern_id) WHERE s.score > len(p.w) - 2.5""",
+)
+def threshold_predicate(spark, d):
+    """Scores above a threshold, with the prefix whose presence they stand for."""
+    coded, patterns = events_and_patterns(spark, d)
+    thresholds = rules.with_prefixes(patterns.select("pattern_id", (F.col("len") - 2.5).alias("value")), patterns)
+    found = rules.above(similarity.prefix_similarity(patterns, coded), thresholds)
+    return found.select("trace_id", "pattern_id", "k", as_text("prefix").alias("prefix"), "score")
+
+
+@query(
+    "prefix_detect",
+    PATTERNS_SQL
+    + """SELECT occ.trace_id, p.pattern_id, count(*) AS n_hits, min(occ.pos) AS first_pos
+FROM patterns p JOIN occ ON occ.w = p.w[1:len(p.w) - 1] GROUP BY ALL""",
+)
+def prefix_detect(spark, d):
+    """Traces that contain all but the last symbol of a pattern."""
+    coded, patterns = events_and_patterns(spark, d)
+    prefixes = patterns.select("pattern_id", F.slice("gram", F.lit(1), F.col("len") - 1).alias("gram"))
+    return (
+        similarity.match_lengths(prefixes, coded, whole=True)
+        .groupBy("trace_id", "pattern_id")
+        .agg(F.count(F.lit(1)).alias("n_hits"), F.min("pos").alias("first_pos"))
+    )
+
+
+@query(
+    "dfa_transitions",
+    PATTERNS_SQL
+    + """, steps AS (
+  SELECT pattern_id, w, q, c FROM patterns, range(0, 20) AS t(q), (SELECT sym_id AS c FROM dict) a
+  WHERE q < len(w) AND list_contains(w, c))
+SELECT pattern_id, q AS src, c AS sym_id, max(j) AS dst
+FROM steps, range(0, 21) AS u(j)
+WHERE j <= q + 1 AND array_to_string(w[1:j], ' ') = array_to_string(list_append(w[1:q], c)[q + 2 - j:q + 1], ' ')
+GROUP BY ALL""",
+)
+def dfa_transitions(spark, d):
+    _, patterns = events_and_patterns(spark, d)
+    return prefix_automaton(patterns)
+
+
+# --- Rules ---------------------------------------------------------------------------------
+
+
+def part_rule_lines(spark, d):
+    """Rule texts made from the parts, with some lines that are no rules."""
+    key = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    op = F.element_at(F.array(F.lit(">"), F.lit("<="), F.lit("==")), (key % 3 + 1).cast("int"))
+    line = F.concat(
+        F.when(key % 11 == 0, F.lit("Classe ")).otherwise(F.lit("Règle ")), text(key), F.lit(": Patron_"), text(F.col("p_size")),
+        F.lit(" "), op, F.lit(" "), text(key % 9), F.lit(".5 && Patron_"), text(F.col("p_size") + 1), F.lit("<="), text(key % 4),
+    )
+    return load(spark, d, "part").select(F.col("p_type").alias("cls"), line.alias("line"))
+
+
+_RULE_SQL = """WITH lines AS (
+  SELECT p_type AS cls, CASE WHEN p_partkey % 11 = 0 THEN 'Classe ' ELSE 'Règle ' END || p_partkey || ': Patron_' || p_size
+    || ' ' || (['>', '<=', '=='])[p_partkey % 3 + 1] || ' ' || (p_partkey % 9) || '.5 && Patron_' || (p_size + 1) || '<=' || (p_partkey % 4) AS line
+  FROM part),
+found AS (
+  SELECT cls, regexp_extract(line, 'Règle\\s+(\\d+):', 1)::BIGINT AS rule_id,
+    regexp_extract_all(line, 'Patron_\\d+\\s*(?:[<>]=?|==)\\s*[\\d.]+') AS c
+  FROM lines WHERE line LIKE 'Règle%'),
+items AS (SELECT cls, rule_id, unnest(c) AS c, generate_subscripts(c, 1) - 1 AS nr FROM found),
+conditions AS (
+  SELECT cls, rule_id, nr, regexp_extract(c, 'Patron_(\\d+)', 1)::BIGINT AS pattern_id,
+    regexp_extract(c, '([<>]=?|==)', 1) AS op, regexp_extract(c, '([\\d.]+)$', 1)::DOUBLE AS value FROM items)
+"""
+
+
+@query("rule_parse", _RULE_SQL + "SELECT cls, rule_id, nr, pattern_id, op, value FROM conditions")
+def rule_parse(spark, d):
+    return parse_rules(part_rule_lines(spark, d))
+
+
+@query(
+    "class_flags",
+    _RULE_SQL
+    + """SELECT cls, count(DISTINCT rule_id) AS n_rules, count(DISTINCT pattern_id) AS n_flags,
+  (SELECT string_agg(p::VARCHAR, ' ' ORDER BY p) FROM (SELECT DISTINCT pattern_id AS p FROM conditions x WHERE x.cls = c.cls) u) AS flags
+FROM conditions c GROUP BY cls""",
+)
+def class_flags(spark, d):
+    found = rules.flags_by_class(parse_rules(part_rule_lines(spark, d)))
+    return found.select("cls", "n_rules", "n_flags", as_text("flags").alias("flags"))
+
+
+# A small rule set; the last class has two rules.
+CONDITIONS = [
+    ("amber", 1, 1, ">", 7.5),
+    ("upx", 2, 1, "<=", 7.5),
+    ("upx", 2, 2, ">", 5.5),
+    ("mew", 3, 1, "<=", 7.5),
+    ("mew", 3, 2, "<=", 5.5),
+    ("mew", 3, 3, ">", 4.5),
+    ("mew", 4, 1, "<=", 7.5),
+    ("mew", 4, 2, "<=", 5.5),
+    ("mew", 4, 3, "<=", 4.5),
+    ("mew", 4, 1, ">", 4.5),
+]
+
+_CONDITIONS_SQL = ", conditions(cls, rule_id, pattern_id, op, value) AS (VALUES " + ", ".join(
+    f"('{c}', {r}, {p}, '{o}', {v})" for c, r, p, o, v in CONDITIONS
+) + ")"
+
+_HOLDS_SQL = (
+    SCORES_SQL.rstrip()
+    + _CONDITIONS_SQL
+    + """, holds AS (
+  SELECT seq.trace_id, seq.grp, c.cls, c.rule_id
+  FROM seq CROSS JOIN conditions c
+  LEFT JOIN scores s ON s.trace_id = seq.trace_id AND s.pattern_id = c.pattern_id
+  GROUP BY ALL
+  HAVING bool_and(CASE WHEN c.op = '>' THEN coalesce(s.score, 0) > c.value ELSE coalesce(s.score, 0) <= c.value END))
+"""
+)
+
+
+def small_rules(spark):
+    return spark.createDataFrame(CONDITIONS, "cls string, rule_id long, pattern_id long, op string, value double")
+
+
+@query("rule_eval", _HOLDS_SQL + "SELECT trace_id, cls, count(*) AS n_rules FROM holds GROUP BY ALL")
+def rule_eval(spark, d):
+    rows, _, _ = event_features(spark, d)
+    return rules.class_verdicts(rows, small_rules(spark))
+
+
+_VERDICT_SQL = (
+    _HOLDS_SQL
+    + """SELECT seq.trace_id, coalesce(arg_min(h.cls, h.rule_id), 'unpacked') AS verdict
+FROM seq LEFT JOIN holds h ON h.trace_id = seq.trace_id GROUP BY seq.trace_id"""
+)
+
+
+@query("tree_as_rules", _VERDICT_SQL)
+def tree_as_rules(spark, d):
+    rows, _, _ = event_features(spark, d)
+    return rules.tree_verdict(rows, small_rules(spark)).select("trace_id", "verdict")
+
+
+@query("stream_detect", _VERDICT_SQL)
+def stream_detect(spark, d):
+    """The same verdicts from a stream: the events arrive in several files, the ends last."""
+    coded, patterns = events_and_patterns(spark, d)
+    lengths = substrings.trace_lengths(coded)
+    calls = coded.select("trace_id", "pos", "sym_id", F.lit(False).alias("is_end"))
+    ends = lengths.select("trace_id", F.col("n").alias("pos"), F.lit(None).cast("int").alias("sym_id"), F.lit(True).alias("is_end"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    calls.unionByName(ends).write.parquet(f"{folder}/feed")
+    conditions = small_rules(spark)
+    detectors = detect.Detectors(conditions, patterns)
+    return detect.run_available(spark, f"{folder}/feed", folder, detectors, conditions)
+
+
+@query(
+    "rule_detectors",
+    PATTERNS_SQL.rstrip()
+    + _CONDITIONS_SQL
+    + """, prefixes AS (
+  SELECT DISTINCT c.cls, c.rule_id, c.pattern_id, floor(c.value)::BIGINT + 1 AS k, p.w[1:floor(c.value)::BIGINT + 1] AS w
+  FROM conditions c JOIN patterns p USING (pattern_id)),
+steps AS (
+  SELECT cls, rule_id, pattern_id, k, w, q, c FROM prefixes, range(0, 20) AS t(q), (SELECT sym_id AS c FROM dict) a
+  WHERE len(w) = k AND q < len(w) AND list_contains(w, c))
+SELECT cls, rule_id, pattern_id, k, q AS src, c AS sym_id, max(j) AS dst
+FROM steps, range(0, 21) AS u(j)
+WHERE j <= q + 1 AND array_to_string(w[1:j], ' ') = array_to_string(list_append(w[1:q], c)[q + 2 - j:q + 1], ' ')
+GROUP BY ALL""",
+)
+def rule_detectors(spark, d):
+    _, patterns = events_and_patterns(spark, d)
+    return rules.rule_detectors(small_rules(spark), patterns)
+
+
+# --- Evaluation ----------------------------------------------------------------------------
+
+
+def part_predictions(spark, d):
+    """Part types as the truth, and a prediction that is wrong for every third size."""
+    wrong = F.element_at(
+        F.array(*[F.lit(x) for x in ("SMALL", "MEDIUM", "LARGE", "PROMO")]), (F.col("p_partkey") % 4 + 1).cast("int")
+    )
+    return load(spark, d, "part").select(
+        F.col("p_partkey").alias("filename"),
+        F.col("p_type").alias("y_true"),
+        F.when(F.col("p_size") % 3 == 0, wrong).otherwise(F.col("p_type")).alias("y_pred"),
+    )
+
+
+_PREDICTIONS_SQL = """WITH predictions AS (
+  SELECT p_partkey AS filename, p_type AS y_true,
+    CASE WHEN p_size % 3 = 0 THEN (['SMALL', 'MEDIUM', 'LARGE', 'PROMO'])[p_partkey % 4 + 1] ELSE p_type END AS y_pred
+  FROM part)
+"""
+
+
+@query(
+    "classification_metrics",
+    _PREDICTIONS_SQL
+    + """, classes AS (
+  SELECT c, (SELECT count(*) FROM predictions WHERE y_true = c) AS support,
+    (SELECT count(*) FROM predictions WHERE y_pred = c) AS predicted,
+    (SELECT count(*) FROM predictions WHERE y_true = c AND y_pred = c) AS tp
+  FROM (SELECT DISTINCT y_true AS c FROM predictions UNION SELECT DISTINCT y_pred FROM predictions) u)
+SELECT round(100.0 * sum(tp) / sum(support), 6) AS accuracy,
+  round(100.0 * sum(support * coalesce(tp / nullif(predicted, 0), 0)) / sum(support), 6) AS "precision",
+  round(100.0 * sum(support * coalesce(tp / nullif(support, 0), 0)) / sum(support), 6) AS recall,
+  round(100.0 * sum(support * coalesce(2 * tp / nullif(support + predicted, 0), 0)) / sum(support), 6) AS f1
+FROM classes""",
+)
+def classification_metrics(spark, d):
+    found = evaluation.classification_metrics(part_predictions(spark, d))
+    return found.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+_TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query(
+    "confusion_matrix",
+    _PREDICTIONS_SQL
+    + "SELECT y_true, "
+    + ", ".join(f"count(*) FILTER (WHERE y_pred = '{t}') AS \"{t}\"" for t in _TYPES)
+    + " FROM predictions GROUP BY y_true",
+)
+def confusion_matrix(spark, d):
+    rows = part_predictions(spark, d)
+    return evaluation.confusion_matrix(rows, evaluation.class_labels(rows))
+
+
+@query(
+    "crosstab_margins",
+    _PREDICTIONS_SQL
+    + """SELECT CASE WHEN grouping(y_true) = 1 THEN 'All' ELSE y_true END AS y_true,
+  CASE WHEN grouping(y_pred) = 1 THEN 'All' ELSE y_pred END AS y_pred, count(*) AS n
+FROM predictions GROUP BY CUBE (y_true, y_pred)""",
+)
+def crosstab_margins(spark, d):
+    return evaluation.crosstab_margins(part_predictions(spark, d))
+
+
+@query(
+    "misclassified",
+    """SELECT doc_id AS filename, CASE quality WHEN 1 THEN 'good' ELSE 'bad' END AS y_true,
+  CASE toxic WHEN 0 THEN 'good' ELSE 'bad' END AS y_pred
+FROM labels WHERE (quality = 1) <> (toxic = 0)""",
+)
+def misclassified(spark, d):
+    """Documents whose toxicity label contradicts their quality label."""
+    rows = load(spark, d, "labels").select(
+        F.col("doc_id").alias("filename"),
+        F.when(F.col("quality") == 1, "good").otherwise("bad").alias("y_true"),
+        F.when(F.col("toxic") == 0, "good").otherwise("bad").alias("y_pred"),
+    )
+    return evaluation.misclassified(rows)
+
+
+# --- Trees ---------------------------------------------------------------------------------
+
+
+def split_features(spark, d):
+    """Feature rows with a train/test split within each class."""
+    rows, _, _ = event_features(spark, d)
+    grouped = rows.withColumn("grp", F.col("label"))
+    return durable(stratified_split(grouped, "trace_id").drop("grp"))
+
+
+@query("tree_grid_search")
+def tree_grid_search(spark, d):
+    """F1 of every depth; a learned model, so no SQL."""
+    rows = split_features(spark, d).where("split = 'train'")
+    return learn.grid_report(learn.grid_search(rows), spark)
+
+
+@query("tree_predictions")
+def tree_predictions(spark, d):
+    """Predictions for the test half of each class."""
+    rows = split_features(spark, d)
+    model = learn.fit_tree(rows.where("split = 'train'"), 6)
+    return learn.predict(model, rows.where("split = 'test'"))
+
+
+@query("tree_rules")
+def tree_rules(spark, d):
+    """The rules of a fitted tree in long form."""
+    rows = split_features(spark, d)
+    model = learn.fit_tree(rows.where("split = 'train'"), 6)
+    return learn.rule_conditions(learn.tree_rules(learn.tree_nodes(model, spark), 6))
