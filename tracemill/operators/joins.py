@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,18 @@ def join_spread(
     on: Sequence[str],
     weight: str,
     spread_by: Sequence[str],
+    how: str = "inner",
     heavy_rows: int = HEAVY_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Inner join; ``right`` has one row per key and knows the key's left row count.
+    """Inner or left join; the rows of ``right`` know how many left rows their key has.
 
-    Rows of heavy keys get a salt from ``spread_by``; only the few heavy rows of
-    ``right`` are copied once per salt.
+    Left rows of heavy keys, and those with a NULL key, get a salt from ``spread_by``; only the
+    few heavy rows of ``right`` are copied once per salt.
     """
     heavy = right.where(F.col(weight) > heavy_rows).select(*on, F.lit(True).alias("__heavy"))
-    salt = F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salt = F.when(no_key | F.col("__heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
     salted_left = (
         left.join(F.broadcast(heavy), list(on), "left")
         .withColumn("__salt", salt.cast("int"))
@@ -38,4 +41,4 @@ def join_spread(
         F.array(F.lit(0))
     )
     salted_right = right.withColumn("__salt", F.explode(copies))
-    return salted_left.join(salted_right, [*on, "__salt"]).drop("__salt")
+    return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")

@@ -15,8 +15,6 @@ from tracemill.operators.blocks import as_text, grams, to_blocks
 from tracemill.operators.joins import join_spread
 from tracemill.operators.ordering import rank_all
 
-ONE = F.lit(1)
-
 
 def repeated_grams(tokens: DataFrame, min_len: int, max_len: int) -> DataFrame:
     """``(grp, gram, n_occ, n_traces)`` of all grams with two or more occurrences.
@@ -25,10 +23,10 @@ def repeated_grams(tokens: DataFrame, min_len: int, max_len: int) -> DataFrame:
     distinct aggregate.
     """
     found = grams(to_blocks(tokens, before=0, after=max_len), min_len, max_len)
-    per_trace = found.groupBy("grp", "gram", "trace_id").agg(F.count(ONE).alias("n"))
+    per_trace = found.groupBy("grp", "gram", "trace_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         per_trace.groupBy("grp", "gram")
-        .agg(F.sum("n").alias("n_occ"), F.count(ONE).alias("n_traces"))
+        .agg(F.sum("n").alias("n_occ"), F.count(F.lit(1)).alias("n_traces"))
         .where("n_occ >= 2")
     )
 
@@ -91,7 +89,7 @@ def context_histogram(tokens: DataFrame, min_len: int, max_len: int, side: str =
     return (
         found.withColumnRenamed(f"{side}_sym", "neighbour")
         .groupBy("grp", "gram", "neighbour")
-        .agg(F.count(ONE).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
@@ -104,7 +102,7 @@ def repeat_profile(tokens: DataFrame, max_len: int, min_len: int = 1) -> DataFra
     ``(gram, left)`` and ``(gram, right)``, never under the gram alone.
     """
     found = grams(to_blocks(tokens, before=1, after=max_len + 1), min_len, max_len)
-    pairs = found.groupBy("grp", "gram", "left_sym", "right_sym").agg(F.count(ONE).alias("n"))
+    pairs = found.groupBy("grp", "gram", "left_sym", "right_sym").agg(F.count(F.lit(1)).alias("n"))
 
     def with_side(rows: DataFrame, side: str, other: str) -> DataFrame:
         same = W.partitionBy("grp", "gram", side)

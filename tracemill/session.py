@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tracemill")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -56,13 +58,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    Used where rows must not change between two reads (partition numbers) and to
-    keep the lineage of driver loops short.
+    Used where rows must not change between two reads (row ids), for tables that are read
+    several times, and to keep the plans of driver loops short. The stored table has its true
+    size, so the planner's own broadcast limit applies to it.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import repeats, tandem
+from tracemill.operators import longrepeats, repeats, tandem
 from tracemill.operators.blocks import as_text
-from tracemill.operators.dictionary import build_dictionary
+from tracemill.operators.dictionary import build_dictionary, encode
+from tracemill.session import durable
 from tracemill.sources.tables import pattern_names
 from tracemill.workload.registry import query
 from tracemill.workload.tables import (
@@ -17,6 +18,7 @@ from tracemill.workload.tables import (
     SEQ_SQL,
     SHARED_SQL,
     coded_events,
+    document_words,
     event_tokens,
     feature_patterns,
     mined,
@@ -125,6 +127,33 @@ def decode_patterns(spark, d):
     return names.select("pattern_id", F.array_join("names", " ").alias("names"))
 
 
+@query(
+    "near_supermax_any_length",
+    PROFILE_SQL
+    + """SELECT grp, len(w) AS len, array_to_string(w, ' ') AS pattern, n_occ, n_traces, n_witness,
+  100 * n_witness // n_occ AS percent FROM profile WHERE n_witness >= 1""",
+)
+def near_supermax_any_length(spark, d):
+    """By doubling, without a length bound."""
+    coded = durable(coded_events(spark, d))
+    found = durable(longrepeats.long_repeats(coded))
+    keys = ["grp", "len", "trace_id", "pos"]
+    letters = F.sort_array(F.collect_list(F.struct("k", "sym_id")))
+    spelled = longrepeats.spell(found, coded).groupBy(*keys).agg(letters.alias("__s"))
+    named = spelled.withColumn("gram", F.col("__s.sym_id")).withColumn("pattern", as_text("gram"))
+    return named.join(found, keys).select("grp", "len", "pattern", "n_occ", "n_traces", "n_witness", "percent")
+
+
+@query("document_repeats")
+def document_repeats(spark, d):
+    """Supermaximal word repeats of the documents of a language, of any length: whole copied
+    passages. Given by their first place; SQL would need one row per length."""
+    words = document_words(spark, d)
+    coded = encode(words, build_dictionary(words)).select("grp", "trace_id", "pos", "sym_id")
+    found = longrepeats.long_repeats(coded).where("n_witness = n_occ AND n_traces >= 2 AND len >= 3")
+    return found.select("grp", "len", F.col("trace_id").alias("doc_id"), "pos", "n_occ", "n_traces")
+
+
 # --- Tandem repeats ------------------------------------------------------------------------
 
 _SQUARES = """hits AS (
