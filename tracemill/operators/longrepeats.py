@@ -39,28 +39,48 @@ def _name_levels(places: DataFrame, heavy_rows: int) -> list[DataFrame]:
 
 
 def _longest_matches(places: DataFrame, levels: list[DataFrame], heavy_rows: int) -> DataFrame:
-    """Length and class of the longest repeated match at each position: ``(grp, trace_id, pos, gid, len, cur)``."""
-    state = places.select("grp", "trace_id", "pos", "gid", F.lit(0).cast("long").alias("len"), F.lit(-1).cast("long").alias("cur"))
-    keys = ["grp", "len", "cur", "following"]
+    """Length and class of the longest repeated match at each position: ``(grp, trace_id, pos, gid, len, cur)``.
+
+    ``(len, cur)`` names the symbols matched so far. A position that cannot make the step of
+    ``2 ** level`` symbols may still share fewer symbols with those that made it. One of them
+    therefore stays behind as a stand-in that counts for two.
+    """
+    node = ["grp", "len", "cur"]
+    keys = [*node, "following"]
+    state = places.select(
+        "grp", "trace_id", "pos", "gid",
+        F.lit(0).cast("long").alias("len"), F.lit(-1).cast("long").alias("cur"), F.lit(False).alias("stand_in"),
+    )
     for number in range(len(levels) - 1, -1, -1):
         ahead = levels[number].select("trace_id", F.col("pos").alias("ahead"), F.col("name").alias("following"))
-        tried = state.withColumn("ahead", F.col("pos") + F.col("len")).join(ahead, ["trace_id", "ahead"], "left").drop("ahead")
-        classes = (
+        tried = durable(
+            state.withColumn("ahead", F.col("pos") + F.col("len")).join(ahead, ["trace_id", "ahead"], "left").drop("ahead")
+        )
+        classes = durable(
             tried.where("following IS NOT NULL")
             .groupBy(*keys)
-            .agg(F.min("gid").alias("longer"), F.count(F.lit(1)).alias("n"))
-            .where("n >= 2")
+            .agg(
+                F.min(F.struct("gid", "trace_id", "pos")).alias("first"),
+                F.count(F.lit(1)).alias("n"),
+                F.sum(F.when(F.col("stand_in"), 2).otherwise(1)).alias("weight"),
+                F.bool_or(~F.col("stand_in")).alias("wanted"),
+            )
+            .where("weight >= 2")
         )
-        joined = join_spread(tried, classes, keys, "n", ["gid"], how="left", heavy_rows=heavy_rows)
+        steps = classes.where("wanted").select(*keys, "n", F.col("first.gid").alias("longer"))
+        joined = join_spread(tried, steps, keys, "n", ["gid"], how="left", heavy_rows=heavy_rows)
         grows = F.col("longer").isNotNull()
-        state = durable(
-            joined.select(
-                "grp", "trace_id", "pos", "gid",
-                F.when(grows, F.col("len") + (1 << number)).otherwise(F.col("len")).alias("len"),
-                F.coalesce("longer", "cur").alias("cur"),
-            )
+        moved = joined.where(grows | ~F.col("stand_in")).select(
+            "grp", "trace_id", "pos", "gid",
+            F.when(grows, F.col("len") + (1 << number)).otherwise(F.col("len")).alias("len"),
+            F.coalesce("longer", "cur").alias("cur"),
+            "stand_in",
+        )
+        stay = classes.select(
+            "grp", "first.trace_id", "first.pos", "first.gid", "len", "cur", F.lit(True).alias("stand_in")
         )
-    return state
+        state = moved.unionByName(stay)
+    return durable(state.where("NOT stand_in").drop("stand_in"))
 
 
 def long_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
