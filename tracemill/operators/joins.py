@@ -29,7 +29,7 @@ def join_spread(
     Left rows of heavy keys, and those with a NULL key, get a salt from ``spread_by``; only the
     few heavy rows of ``right`` are copied once per salt.
     """
-    heavy = right.where(F.col(weight) > heavy_rows).select(*on, F.lit(True).alias("__heavy"))
+    heavy = right.where(F.col(weight) > heavy_rows).select(*on).distinct().withColumn("__heavy", F.lit(True))
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salt = F.when(no_key | F.col("__heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
     salted_left = (
