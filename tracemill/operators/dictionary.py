@@ -69,7 +69,7 @@ def decode(coded: DataFrame, dictionary: DataFrame, default: str | None = "unkno
     """Adds ``sym`` for ``sym_id``; ``default=None`` falls back to the id itself."""
     fallback = F.col("sym_id").cast("string") if default is None else F.lit(default)
     words = small_side(durable(dictionary.select("sym_id", "sym")))
-    return coded.join(words, "sym_id", "left").withColumn("sym", F.coalesce("sym", fallback))
+    return coded.drop("sym").join(words, "sym_id", "left").withColumn("sym", F.coalesce("sym", fallback))
 
 
 def count_singletons(tokens: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,7 +70,7 @@ def block_hits(events: DataFrame, detectors: Detectors, block_size: int = BLOCK_
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        trace_id, block = key
+        trace_id, block = (int(v) for v in key)
         start = block * block_size
         stop = start + block_size + margin
         if state.exists:
@@ -86,7 +86,8 @@ def block_hits(events: DataFrame, detectors: Detectors, block_size: int = BLOCK_
             if len(ends):
                 end_pos = int(ends.iloc[0])
             calls = frame.loc[~frame["is_end"]]
-            waiting.update(zip(calls["pos"].tolist(), calls["sym_id"].tolist()))
+            # The end rows have no symbol, which turns the column to floats.
+            waiting.update(zip(calls["pos"].tolist(), calls["sym_id"].astype("int64").tolist()))
         rows = np.arange(len(goal))
         new = []
         while at in waiting and at < stop:
@@ -134,7 +135,7 @@ def finished_traces(hits: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Second query: the detectors hit in a trace, once all its blocks are complete."""
 
     def collect(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (trace_id,) = key
+        trace_id = int(key[0])
         found, n_complete, end_pos = state.get if state.exists else ([], 0, -1)
         found = set(found)
         for frame in frames:
