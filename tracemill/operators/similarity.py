@@ -29,31 +29,29 @@ def longest_pattern(patterns: DataFrame) -> int:
     return patterns.agg(F.coalesce(F.max(F.size("gram")), F.lit(0))).first()[0]
 
 
-def match_lengths(
-    patterns: DataFrame,
-    tokens: DataFrame,
-    anchor: int = ANCHOR,
-    value: str = "sym_id",
-    whole: bool = False,
-) -> DataFrame:
+def pattern_blocks(patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR, value: str = "sym_id") -> DataFrame:
+    """Blocks whose margin covers the longest pattern."""
+    longest = max(longest_pattern(patterns), anchor)
+    return to_blocks(tokens, value, before=0, after=longest, size=max(BLOCK_SIZE, 2 * longest))
+
+
+def match_lengths(patterns: DataFrame, blocks: DataFrame, anchor: int = ANCHOR, whole: bool = False) -> DataFrame:
     """Match length of every pattern at every position where its anchor occurs.
 
-    Returns ``(grp, trace_id, pos, pattern_id, match_len)``. The anchor of a pattern is its first
-    ``anchor`` symbols, or all of them if it is shorter. ``whole`` keeps full matches only.
+    ``blocks`` come from ``pattern_blocks``. Returns ``(grp, trace_id, pos, pattern_id, match_len)``.
+    The anchor of a pattern is its first ``anchor`` symbols, or all of them if it is shorter.
+    ``whole`` keeps full matches only.
     """
-    longest = longest_pattern(patterns)
-    size = max(BLOCK_SIZE, 2 * longest)
-    anchored = patterns.select(
-        "pattern_id",
-        F.col("gram").alias("wanted"),
-        F.slice("gram", F.lit(1), F.lit(anchor)).alias("anchor"),
-    ).where(F.size("wanted") > 0)
-    stored = durable(anchored)
-    # The lengths of the anchors: between 1 and ``anchor`` distinct numbers.
-    lengths = sorted(r[0] for r in stored.select(F.size("anchor")).distinct().collect())
-    if not lengths:
-        lengths = [anchor]
-    blocks = to_blocks(tokens, value, before=0, after=max(longest, anchor), size=size)
+    stored = durable(
+        patterns.where(F.size("gram") > 0).select(
+            "pattern_id",
+            F.col("gram").alias("wanted"),
+            F.slice("gram", F.lit(1), F.lit(anchor)).alias("anchor"),
+        )
+    )
+    # Between 1 and ``anchor`` distinct numbers.
+    lengths = sorted(r[0] for r in stored.select(F.size("anchor")).distinct().collect()) or [anchor]
+    longest = max(longest_pattern(patterns), anchor)
     places = (
         own_positions(blocks)
         .withColumn("__len", F.explode(F.array(*[F.lit(n) for n in lengths])))
@@ -63,7 +61,7 @@ def match_lengths(
             "trace_id",
             "pos",
             F.slice("syms", F.col("at"), F.col("__len")).alias("anchor"),
-            F.slice("syms", F.col("at"), F.lit(max(longest, anchor))).alias("ahead"),
+            F.slice("syms", F.col("at"), F.lit(longest)).alias("ahead"),
         )
     )
     pairs = places.join(small_side(stored), "anchor")
@@ -73,12 +71,11 @@ def match_lengths(
     return found.select("grp", "trace_id", "pos", "pattern_id", "match_len")
 
 
-def short_matches(
-    patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR, value: str = "sym_id"
-) -> DataFrame:
-    """Best match below the anchor length: ``(grp, trace_id, pattern_id, match_len)``.
+def short_matches(patterns: DataFrame, blocks: DataFrame, anchor: int = ANCHOR) -> DataFrame:
+    """Best match up to the anchor length: ``(grp, trace_id, pattern_id, match_len)``.
 
-    Patterns with the same anchor are scored once.
+    Patterns with the same anchor are scored once. The n-grams meet the prefixes before they are
+    counted: with few patterns this is a map-side lookup that leaves little to shuffle.
     """
     stored = durable(
         patterns.where(F.size("gram") > 0).select(
@@ -91,8 +88,11 @@ def short_matches(
         .withColumn("match_len", F.explode(F.sequence(F.lit(1), F.size("anchor"))))
         .withColumn("gram", F.slice("anchor", F.lit(1), F.col("match_len")))
     )
+    known = durable(prefixes.groupBy("gram", "match_len").agg(F.count(F.lit(1)).alias("__n")).drop("__n"))
     present = (
-        grams(to_blocks(tokens, value, before=0, after=anchor), 1, anchor)
+        grams(blocks, 1, anchor)
+        .select("grp", "trace_id", "gram")
+        .join(small_side(known), "gram")
         .groupBy("grp", "trace_id", "gram")
         .agg(F.count(F.lit(1)).alias("__n"))
     )
@@ -104,18 +104,20 @@ def short_matches(
     return scored.join(small_side(stored), "anchor").select("grp", "trace_id", "pattern_id", "match_len")
 
 
-def prefix_similarity(patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR) -> DataFrame:
+def prefix_similarity(patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR, value: str = "sym_id") -> DataFrame:
     """Longest pattern prefix occurring in each trace: ``(grp, trace_id, pattern_id, score)``.
 
-    Pairs that share nothing (score 0) are not listed.
+    Pairs that share nothing (score 0) are not listed. Both searches read the same blocks, so
+    the tokens are shuffled once.
     """
+    blocks = pattern_blocks(patterns, tokens, anchor, value)
     long = (
-        match_lengths(patterns, tokens, anchor)
+        match_lengths(patterns, blocks, anchor)
         .groupBy("grp", "trace_id", "pattern_id")
         .agg(F.max("match_len").alias("match_len"))
     )
     return (
-        long.unionByName(short_matches(patterns, tokens, anchor))
+        long.unionByName(short_matches(patterns, blocks, anchor))
         .groupBy("grp", "trace_id", "pattern_id")
         .agg(F.max("match_len").alias("score"))
     )

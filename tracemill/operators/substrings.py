@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.blocks import grams, to_blocks
 from tracemill.operators.ordering import running_total
 from tracemill.operators.ranges import latest_start
-from tracemill.operators.similarity import match_lengths, short_matches
+from tracemill.operators.similarity import match_lengths, pattern_blocks, short_matches
 
 
 def trace_lengths(tokens: DataFrame) -> DataFrame:
@@ -52,8 +52,9 @@ def substring_lookup(queries: DataFrame, tokens: DataFrame, value: str = "sym_id
 
     ``queries`` has ``(pattern_id, gram)``; a query without any match gets 0.
     """
-    long = match_lengths(queries, tokens, value=value).select("pattern_id", "match_len")
-    short = short_matches(queries, tokens, value=value).select("pattern_id", "match_len")
+    blocks = pattern_blocks(queries, tokens, value=value)
+    long = match_lengths(queries, blocks).select("pattern_id", "match_len")
+    short = short_matches(queries, blocks).select("pattern_id", "match_len")
     best = long.unionByName(short).groupBy("pattern_id").agg(F.max("match_len").alias("match_len"))
     return queries.join(best, "pattern_id", "left").select(
         "pattern_id", F.coalesce("match_len", F.lit(0)).alias("found_len")

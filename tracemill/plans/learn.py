@@ -41,7 +41,7 @@ def _stages(rows: DataFrame, label: str):
 
 
 def grid_search(
-    rows: DataFrame, label: str = "label", name: str = "trace_id", depths: Sequence[int] = DEPTHS, parallelism: int = 4
+    rows: DataFrame, label: str = "label", name: str = "trace_id", depths: Sequence[int] = DEPTHS, parallelism: int = 6
 ) -> CrossValidatorModel:
     """Picks the depth with the best weighted F1 over stratified folds.
 

@@ -57,7 +57,8 @@ WHERE k <= len(p.w) AND occ.w = p.w[1:k] GROUP BY ALL""",
 def match_lengths(spark, d):
     """At each position, how far each pattern matches from there; matches of four symbols or more."""
     coded, patterns = events_and_patterns(spark, d)
-    return similarity.match_lengths(patterns, coded).select("pattern_id", "trace_id", "pos", "match_len")
+    blocks = similarity.pattern_blocks(patterns, coded)
+    return similarity.match_lengths(patterns, blocks).select("pattern_id", "trace_id", "pos", "match_len")
 
 
 @query("prefix_similarity", SCORES_SQL + "SELECT trace_id, pattern_id, score FROM scores")
@@ -111,7 +112,7 @@ def prefix_detect(spark, d):
     coded, patterns = events_and_patterns(spark, d)
     prefixes = patterns.select("pattern_id", F.slice("gram", F.lit(1), F.col("len") - 1).alias("gram"))
     return (
-        similarity.match_lengths(prefixes, coded, whole=True)
+        similarity.match_lengths(prefixes, similarity.pattern_blocks(prefixes, coded), whole=True)
         .groupBy("trace_id", "pattern_id")
         .agg(F.count(F.lit(1)).alias("n_hits"), F.min("pos").alias("first_pos"))
     )

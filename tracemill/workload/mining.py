@@ -84,7 +84,7 @@ def longest_repeat(spark, d):
 FROM occ JOIN shared ON occ.grp = shared.grp AND occ.w = shared.w""",
 )
 def repeat_occurrences(spark, d):
-    coded = coded_events(spark, d)
+    coded = durable(coded_events(spark, d))
     found = repeats.occurrences(coded, mined(coded), 3, MAX_LEN)
     return found.select("grp", as_text("gram").alias("pattern"), "trace_id", "pos")
 
@@ -247,7 +247,7 @@ WHERE NOT EXISTS (FROM runs r WHERE r.trace_id = p.trace_id AND r.period = 2
                   AND p.i >= r.start + 2 AND p.i < r.start + 2 * r.reps)""",
 )
 def collapse_tandem(spark, d):
-    return tandem.collapse_tandem(coded_events(spark, d), 2).select("trace_id", "pos", "sym_id")
+    return tandem.collapse_tandem(durable(coded_events(spark, d)), 2).select("trace_id", "pos", "sym_id")
 
 
 @query("collapse_fixpoint")
@@ -273,4 +273,4 @@ FROM hits h JOIN runs r ON r.trace_id = h.trace_id AND r.period = h.period AND h
 WHERE h.primitive AND h.start + 2 * h.period <= r.stop AND (r.stop - h.start) // h.period >= 3""",
 )
 def tandem_arrays(spark, d):
-    return tandem.tandem_arrays(coded_events(spark, d), MAX_PERIOD)
+    return tandem.tandem_arrays(durable(coded_events(spark, d)), MAX_PERIOD)

@@ -20,6 +20,8 @@ from tracemill.functions.calls import (
 from tracemill.functions.labels import label_anywhere, label_from_prefix
 from tracemill.operators import dictionary, sampling, substrings
 from tracemill.operators.blocks import as_text
+from tracemill.operators.ordering import number_rows
+from tracemill.session import durable
 from tracemill.sources.tables import encoded_blocks
 from tracemill.sources.traces import parse_lines
 from tracemill.workload.registry import query
@@ -125,8 +127,6 @@ def damaged_lines(spark, d):
         .when(F.col("event_id") % 83 == 0, F.lit(" "))
         .otherwise(F.col("props"))
     )
-    from tracemill.operators.ordering import number_rows
-
     lines = e.select(F.col("user_id").alias("trace_id"), "ts", "event_id", line.alias("line"))
     return number_rows(lines, ["trace_id"], F.date_trunc("day", "ts"), ["ts", "event_id"])
 
@@ -359,11 +359,14 @@ GROUP BY items.trace_id""",
 )
 def substring_lookup(spark, d):
     """How much of each benchmark item, from its first word on, occurs in some document."""
-    items = word_tokens(spark, d, "benchmark", "item_id", F.lit(0))
+    known = durable(base_dictionary(spark, d))
+    items = dictionary.encode(word_tokens(spark, d, "benchmark", "item_id", F.lit(0)), known)
     # An item is one short text: its words form one array.
-    gram = F.sort_array(F.collect_list(F.struct("pos", "sym")))
+    gram = F.sort_array(F.collect_list(F.struct("pos", "sym_id")))
     queries = items.groupBy(F.col("trace_id").alias("pattern_id")).agg(gram.alias("g")).select(
-        "pattern_id", F.col("g.sym").alias("gram")
+        "pattern_id", F.col("g.sym_id").alias("gram")
     )
-    found = substrings.substring_lookup(queries, document_words(spark, d), value="sym")
+    # Words that no item has match nothing and share one id.
+    coded = dictionary.encode(document_words(spark, d), known, unknown="mark")
+    found = substrings.substring_lookup(durable(queries), coded)
     return found.select(F.col("pattern_id").alias("item_id"), "found_len")

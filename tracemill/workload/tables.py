@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.dictionary import build_dictionary, encode
 from tracemill.operators.ordering import number_rows
 from tracemill.operators.repeats import pattern_catalog, shared_repeats, supermaximal_repeats
+from tracemill.session import durable
 
 MAX_LEN = 20
 FEATURE_LEN = 8
@@ -35,8 +36,10 @@ def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = event_tokens(spark, sf_dir)
-    return encode(tokens, build_dictionary(tokens)).select("grp", "trace_id", "pos", "sym_id")
+    # The dictionary needs no positions: it is built from the bare column.
+    names = load(spark, sf_dir, "events").select(F.col("event_type").alias("sym"))
+    coded = encode(event_tokens(spark, sf_dir), durable(build_dictionary(names)))
+    return coded.select("grp", "trace_id", "pos", "sym_id")
 
 
 def word_tokens(spark: SparkSession, sf_dir: str, table: str, key: str, grp) -> DataFrame:
