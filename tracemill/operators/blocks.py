@@ -31,14 +31,13 @@ def to_blocks(
         raise ValueError("a margin must be shorter than the block")
     block = F.floor(F.col("pos") / size)
     offset = F.col("pos") - block * size
-    homes = F.array_compact(
-        F.array(
-            block,
-            F.when((block > 0) & (offset < after), block - 1),
-            F.when(offset >= size - before, block + 1),
-        )
-    )
-    copies = tokens.select("grp", "trace_id", "pos", F.col(value).alias("__v"), F.explode(homes).alias("block"))
+    first_home = block - F.when((block > 0) & (offset < after), 1).otherwise(0)
+    last_home = block + F.when(offset >= size - before, 1).otherwise(0)
+    homes = F.sequence(first_home, last_home)
+    # Shuffle first: collecting on the map side would not make the rows fewer.
+    copies = tokens.select(
+        "grp", "trace_id", "pos", F.col(value).alias("__v"), F.explode(homes).alias("block")
+    ).repartition("trace_id", "block")
     ordered = F.sort_array(F.collect_list(F.struct("pos", "__v")))
     first_own = F.col("block") * size
     return (

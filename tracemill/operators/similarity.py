@@ -138,7 +138,13 @@ def feature_rows(traces: DataFrame, scores: DataFrame, n_patterns: int) -> DataF
     )
     return (
         traces.join(sparse, "trace_id", "left")
-        .withColumn("__head", F.coalesce(filled, F.array().cast("array<int>")))
+        # A trace that meets every pattern has no gaps to fill.
+        .withColumn(
+            "__head",
+            F.when(F.col("__e").isNull(), F.array().cast("array<int>"))
+            .when(F.size("__e") == n_patterns, F.col("__e.score"))
+            .otherwise(filled),
+        )
         .withColumn(
             "scores",
             F.concat("__head", F.array_repeat(F.lit(0), F.lit(n_patterns) - F.size("__head"))),

@@ -58,9 +58,8 @@ class Detectors:
 def spread_events(events: DataFrame, margin: int, block_size: int = BLOCK_SIZE) -> DataFrame:
     """Sends each event to its block and, near the block's start, to the block before."""
     block = F.floor(F.col("pos") / block_size)
-    homes = F.array_compact(
-        F.array(block, F.when((block > 0) & (F.col("pos") - block * block_size < margin), block - 1))
-    )
+    first = block - F.when((block > 0) & (F.col("pos") - block * block_size < margin), 1).otherwise(0)
+    homes = F.sequence(first, block)
     return events.withColumn("block", F.explode(homes))
 
 
