@@ -43,7 +43,7 @@ def test_numbers_and_running_values(spark):
     data = [(k, x, r.randint(0, 9)) for k in (0, 1) for x in r.sample(range(1000), 200 if k else 5)]
     df = spark.createDataFrame(data, "k long, x long, v long")
     seg = F.floor(F.col("x") / 37)
-    out = ordering.number_rows(df, ["k"], seg, ["x"], "n")
+    out = ordering.number_rows(df, ["k"], seg, ["x"], "n", heavy_rows=20)  # one heavy key, one light
     out = ordering.running_total(out, ["k"], seg, ["x"], "v", "before")
     out = ordering.running_max(out, ["k"], seg, ["x"], "v", "top").collect()
     for k in (0, 1):
@@ -52,6 +52,8 @@ def test_numbers_and_running_values(spark):
             assert (row.n, row.before, row.top) == (n, total, top)
             total += row.v
             top = row.v if top is None else max(top, row.v)
+    whole = ordering.number_rows(df, ["k"], seg, ["x"], "m").join(spark.createDataFrame(out).select("k", "x", "n"), ["k", "x"])
+    assert whole.where("m <> n").count() == 0 and whole.count() == len(data)
     ranked = ordering.rank_all(df, ["k", "x"], "id").orderBy("k", "x").collect()
     assert [x.id for x in ranked] == list(range(1, len(data) + 1))
 

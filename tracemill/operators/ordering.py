@@ -20,18 +20,32 @@ from tracemill.session import durable
 _SEG = "__segment"
 _BASE = "__base"
 
+# A key with more rows than this is cut into segments; at most (rows / HEAVY_ROWS) keys are.
+HEAVY_ROWS = 10_000_000
+
 
 def _with_base(df: DataFrame, keys: Sequence[str], total: Column, accumulate) -> DataFrame:
     """Join each row to the accumulated total of the earlier segments of its key."""
     earlier = W.partitionBy(*keys).orderBy(_SEG).rowsBetween(W.unboundedPreceding, -1)
     base = (
-        df.groupBy(*keys, _SEG)
+        df.where(F.col(_SEG).isNotNull())
+        .groupBy(*keys, _SEG)
         .agg(total.alias("__total"))
         .select(*keys, _SEG, accumulate("__total").over(earlier).alias(_BASE))
     )
     return df.join(base, [*keys, _SEG], "left")
 
 
+def _cut_heavy(df: DataFrame, keys: Sequence[str], segment: Column, heavy_rows: int) -> DataFrame:
+    """A segment for the rows of heavy keys, NULL for all others, whose keys stay in one piece."""
+    heavy = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_rows)
+        .select(*keys, F.lit(True).alias("__heavy"))
+    )
+    marked = df.join(F.broadcast(heavy), list(keys), "left")
+    return marked.withColumn(_SEG, F.when(F.col("__heavy"), segment)).drop("__heavy")
+
+
 def number_rows(
     df: DataFrame,
     keys: Sequence[str],
@@ -39,9 +53,14 @@ def number_rows(
     order: Sequence[str | Column],
     name: str = "pos",
     start: int = 0,
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
-    """Consecutive numbers within ``keys`` in the given order."""
-    rows = _with_base(df.withColumn(_SEG, segment), keys, F.count(F.lit(1)), F.sum)
+    """Consecutive numbers within ``keys`` in the given order.
+
+    Only keys of more than ``heavy_rows`` rows are cut into segments. Without such a key the table
+    of segment totals is empty and the numbering costs one shuffle.
+    """
+    rows = _with_base(_cut_heavy(df, keys, segment, heavy_rows), keys, F.count(F.lit(1)), F.sum)
     inside = W.partitionBy(*keys, _SEG).orderBy(*order)
     number = F.coalesce(F.col(_BASE), F.lit(0)) + F.row_number().over(inside) + F.lit(start - 1)
     return rows.withColumn(name, number.cast("long")).drop(_SEG, _BASE)

@@ -29,6 +29,18 @@ def longest_pattern(patterns: DataFrame) -> int:
     return patterns.agg(F.coalesce(F.max(F.size("gram")), F.lit(0))).first()[0]
 
 
+def choose_anchor(patterns: DataFrame, most: int = 64) -> int:
+    """The shortest anchor of 4, 8 or 16 symbols that at most ``most`` patterns share.
+
+    Bounds the patterns a position is compared with; 16 if even those share their starts.
+    """
+    for anchor in (ANCHOR, 2 * ANCHOR):
+        shared = patterns.groupBy(F.slice("gram", F.lit(1), F.lit(anchor))).agg(F.count(F.lit(1)).alias("n"))
+        if (shared.agg(F.max("n")).first()[0] or 0) <= most:
+            return anchor
+    return 4 * ANCHOR
+
+
 def pattern_blocks(patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR, value: str = "sym_id") -> DataFrame:
     """Blocks whose margin covers the longest pattern."""
     longest = max(longest_pattern(patterns), anchor)
@@ -104,12 +116,15 @@ def short_matches(patterns: DataFrame, blocks: DataFrame, anchor: int = ANCHOR)
     return scored.join(small_side(stored), "anchor").select("grp", "trace_id", "pattern_id", "match_len")
 
 
-def prefix_similarity(patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR, value: str = "sym_id") -> DataFrame:
+def prefix_similarity(
+    patterns: DataFrame, tokens: DataFrame, anchor: int | None = None, value: str = "sym_id"
+) -> DataFrame:
     """Longest pattern prefix occurring in each trace: ``(grp, trace_id, pattern_id, score)``.
 
     Pairs that share nothing (score 0) are not listed. Both searches read the same blocks, so
     the tokens are shuffled once.
     """
+    anchor = anchor or choose_anchor(patterns)
     blocks = pattern_blocks(patterns, tokens, anchor, value)
     long = (
         match_lengths(patterns, blocks, anchor)

@@ -39,10 +39,10 @@ class Detectors:
         prefixed = with_prefixes(conditions.where("pattern_id IS NOT NULL"), patterns)
         wanted = prefixed.where(F.size("prefix") == F.col("k")).select("pattern_id", "k", "prefix").distinct()
         keyed = wanted.select(F.struct("pattern_id", "k").alias("pattern_id"), F.col("prefix").alias("gram"))
-        rows = prefix_automaton(keyed).limit(MAX_DETECTORS * 100).collect()
-        self.keys = sorted({(r["pattern_id"]["pattern_id"], r["pattern_id"]["k"]) for r in rows})
-        if len(self.keys) > MAX_DETECTORS:
+        if keyed.limit(MAX_DETECTORS + 1).count() > MAX_DETECTORS:
             raise ValueError(f"more than {MAX_DETECTORS} detectors")
+        rows = prefix_automaton(keyed).collect()  # bounded by the detectors and their lengths
+        self.keys = sorted({(r["pattern_id"]["pattern_id"], r["pattern_id"]["k"]) for r in rows})
         number = {key: i for i, key in enumerate(self.keys)}
         self.symbols = {s: i + 1 for i, s in enumerate(sorted({r["sym_id"] for r in rows}))}
         longest = max((k for _, k in self.keys), default=1)
