@@ -37,6 +37,14 @@ def test_single_leaf(spark, rows):
     assert {r.y_pred for r in pipeline.detect(one, conditions).collect()} == {"upx"}
 
 
+def test_no_patterns(spark, rows):
+    bare = rows.withColumn("scores", F.array().cast("array<int>"))
+    model = learn.fit_tree(bare, 2)
+    conditions = learn.rule_conditions(learn.tree_rules(learn.tree_nodes(model, spark), 2))
+    said = {r.filename: r.predicted_label for r in learn.predict(model, bare).collect()}
+    assert said == {r.filename: r.y_pred for r in pipeline.detect(bare, conditions).collect()}
+
+
 def test_grid_search(spark, rows):
     search = learn.grid_search(rows, depths=(1, 3))
     report = {r.max_depth: (r.f1, r.chosen) for r in learn.grid_report(search, spark, (1, 3)).collect()}

@@ -90,7 +90,9 @@ def test_split_golden(spark):
     got = {r.grp: r["count"] for r in sampling.group_sample(df).groupBy("grp").count().collect()}
     assert got == {"g3": 3, "g8": 5}
     folds = sampling.stratified_folds(df, "grp", "name").groupBy("grp", "fold").count().collect()
-    assert {(r.grp, r.fold): r["count"] for r in folds if r.grp == "g8"} == {("g8", 0): 3, ("g8", 1): 3, ("g8", 2): 2}
+    assert {(r.grp, r.fold): r["count"] for r in folds if r.grp == "g8"} == {("g8", 2): 3, ("g8", 0): 3, ("g8", 1): 2}
+    single = spark.createDataFrame([(c, c) for c in "abcdef"], "grp string, name string")
+    assert sorted(r.fold for r in sampling.stratified_folds(single, "grp", "name").collect()) == [0, 0, 1, 1, 2, 2]
 
 
 def test_labels_golden(spark):
@@ -165,6 +167,11 @@ def test_round_trips(spark, tmp_path):
     assert wide.columns == ["Fichier", "Patron_1", "Patron_2", "Patron_3", "label"]
     got = {r.trace_id: (r.label, r.scores) for r in tables.read_features(spark, str(tmp_path / "csv")).collect()}
     assert got == {"f1": ("upx", [0, 7, 0]), "f2": ("mew", [0, 0, 0])}
+    said = spark.createDataFrame([("f1", "upx", "upx"), ("f2", "mew", "upx")], "filename string, true_label string, predicted_label string")
+    tables.write_predictions(said, str(tmp_path / "pred"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "pred")).count() == 2
+    tables.write_misclassified(said.toDF("filename", "y_true", "y_pred"), str(tmp_path / "wrong"))
+    assert [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "wrong")).collect()] == [("f2", "mew", "upx")]
     lines = calls.feed_lines(text, substrings.trace_lengths(text)).where("trace_id = 1").orderBy("pos").collect()
     assert [r.line for r in lines] == ["e(c)", "end"]
 

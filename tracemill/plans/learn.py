@@ -24,8 +24,9 @@ SEED = 42
 
 
 def with_vector(rows: DataFrame) -> DataFrame:
-    """Adds the feature vector of ``scores``."""
-    return rows.withColumn("features", array_to_vector(F.col("scores").cast("array<double>")))
+    """Adds the feature vector of ``scores``; without any pattern it is a constant, which no tree splits."""
+    scores = F.when(F.size("scores") == 0, F.array(F.lit(0))).otherwise(F.col("scores"))
+    return rows.withColumn("features", array_to_vector(scores.cast("array<double>")))
 
 
 def _stages(rows: DataFrame, label: str):

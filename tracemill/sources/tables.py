@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.operators.blocks import BLOCK_SIZE, as_text
+from tracemill.operators.dictionary import decode
+from tracemill.operators.evaluation import misclassified
 
 MAX_WIDE_COLUMNS = 20_000
 
@@ -52,8 +54,6 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
 
 def pattern_names(patterns: DataFrame, dictionary: DataFrame, default: str | None = "unknown") -> DataFrame:
     """Patterns spelled with symbols: ``(pattern_id, names)``."""
-    from tracemill.operators.dictionary import decode
-
     items = patterns.select("pattern_id", F.posexplode("gram").alias("k", "sym_id"))
     named = decode(items, dictionary, default)
     ordered = F.sort_array(F.collect_list(F.struct("k", "sym")))
@@ -95,6 +95,6 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def pattern_text(patterns: DataFrame) -> DataFrame:
-    """Adds the space-joined text of a pattern."""
-    return patterns.withColumn("pattern", as_text("gram"))
+def write_misclassified(rows: DataFrame, path: str) -> None:
+    """Only the rows where ``y_pred`` differs: ``filename, y_true, y_pred``."""
+    misclassified(rows).select("filename", "y_true", "y_pred").write.mode("overwrite").option("header", True).csv(path)

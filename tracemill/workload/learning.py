@@ -71,8 +71,8 @@ def prefix_similarity(spark, d):
     "feature_matrix",
     SCORES_SQL
     + """SELECT seq.trace_id, 'g' || seq.grp AS label,
-  string_agg(coalesce(score, 0)::VARCHAR, ' ' ORDER BY p.pattern_id) AS scores
-FROM seq CROSS JOIN patterns p
+  coalesce(string_agg(CASE WHEN p.pattern_id IS NOT NULL THEN coalesce(score, 0)::VARCHAR END, ' ' ORDER BY p.pattern_id), '') AS scores
+FROM seq LEFT JOIN patterns p ON true
 LEFT JOIN scores s ON s.trace_id = seq.trace_id AND s.pattern_id = p.pattern_id
 GROUP BY seq.trace_id, seq.grp""",
 )
