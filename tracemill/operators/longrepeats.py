@@ -126,11 +126,14 @@ def long_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
         .join(at_end, ["level", "trace_id", "end"])
         .drop("end")
     )
-    # Every position of a class looks for the lengths of the repeats that start with this class.
+    # Every position of a class looks for the lengths of the repeats that start with this class, as
+    # far as its own longest match reaches.
     sizes = at_start.groupBy("level", "first").agg(F.count(F.lit(1)).alias("n"))
     shifts = wanted.select("level", "first", "shift").distinct().join(sizes, ["level", "first"])
+    reach = at_start.join(state.select("trace_id", "pos", F.col("len").alias("reach")), ["trace_id", "pos"])
     tried = (
-        join_spread(at_start, shifts, ["level", "first"], "n", ["trace_id", "pos"], heavy_rows=heavy_rows)
+        join_spread(reach, shifts, ["level", "first"], "n", ["trace_id", "pos"], heavy_rows=heavy_rows)
+        .where("shift + shiftleft(CAST(1 AS BIGINT), level) <= reach")
         .withColumn("end", F.col("pos") + F.col("shift"))
         .join(at_end, ["level", "trace_id", "end"])
     )
