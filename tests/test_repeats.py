@@ -109,7 +109,7 @@ def test_join_spread_keeps_all_rows(spark):
     left = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 2).alias("k"), "id")
     right = spark.createDataFrame([(0, 400, "a"), (1, 5, "b")], "k long, n long, v string")
     plain = left.join(right, "k", "left").select("id", "v")
-    salted = join_spread(left, right, ["k"], "n", ["id"], how="left", heavy_rows=10, salts=7).select("id", "v")
+    salted = join_spread(left, right, ["k"], "n", ["id"], how="left", heavy_rows=10).select("id", "v")
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
-    inner = join_spread(left, right, ["k"], "n", ["id"], heavy_rows=10, salts=7)
+    inner = join_spread(left, right, ["k"], "n", ["id"], heavy_rows=10)
     assert inner.count() == left.where("k IS NOT NULL").count()

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A key with more left rows than this is spread over several tasks. At most
-# (left rows / HEAVY_ROWS) keys can be heavy, which bounds the broadcast below.
+# (left rows / HEAVY_ROWS) keys can be heavy.
 HEAVY_ROWS = 10_000_000
-SALTS = 64
+
+# Heavy keys up to which their table is broadcast; beyond it, the planner decides.
+HEAVY_KEYS = 100_000
 
 
 def join_spread(
@@ -22,23 +24,23 @@ def join_spread(
     spread_by: Sequence[str],
     how: str = "inner",
     heavy_rows: int = HEAVY_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Inner or left join; the rows of ``right`` know how many left rows their key has.
 
-    Left rows of heavy keys, and those with a NULL key, get a salt from ``spread_by``; only the
-    few heavy rows of ``right`` are copied once per salt.
+    A key of ``n`` left rows is cut into ``ceil(n / heavy_rows)`` parts, so that no part grows with the
+    data: its left rows get a salt from ``spread_by``, its row of ``right`` is copied once per part.
+    Left rows with a NULL key, which match nothing, are spread in the same way over 64 parts.
     """
-    heavy = right.where(F.col(weight) > heavy_rows).select(*on).distinct().withColumn("__heavy", F.lit(True))
+    parts = F.ceil(F.col(weight) / F.lit(heavy_rows)).cast("long")
+    heavy = right.where(F.col(weight) > heavy_rows).select(*on, parts.alias("__parts")).distinct()
+    few = heavy.limit(HEAVY_KEYS + 1).count() <= HEAVY_KEYS
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = F.when(no_key | F.col("__heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0))
+    n_parts = F.when(no_key, F.lit(64)).otherwise(F.coalesce("__parts", F.lit(1)))
     salted_left = (
-        left.join(F.broadcast(heavy), list(on), "left")
-        .withColumn("__salt", salt.cast("int"))
-        .drop("__heavy")
-    )
-    copies = F.when(F.col(weight) > heavy_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+        left.join(F.broadcast(heavy) if few else heavy, list(on), "left")
+        .withColumn("__salt", F.pmod(F.xxhash64(*spread_by), n_parts))
+        .drop("__parts")
     )
+    copies = F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce(parts, F.lit(1)), F.lit(1)) - 1)
     salted_right = right.withColumn("__salt", F.explode(copies))
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
