@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, langid, mixing, quality, simhash
+from tracemill.llm import bpe, html, langid, lm, mixing, quality, simhash, topk, vectors, warc
 from tracemill.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -47,6 +47,28 @@ def mixing_tree(docs: DataFrame) -> DataFrame:
     return mixing.name_levels(docs.select("doc_id", "lang", "source", tokens_estimate("text").alias("n_tokens")), levels)
 
 
+@query(
+    "op1_topk",
+    """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10""",
+)
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.quantise(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(found, F.col("id") % 100 == 0, 10)
+
+
+@query("op2_warc")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source gives to the mixture: documents, epochs and tokens taken."""
@@ -75,6 +97,40 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net, ["doc_id"]).select("doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_html")
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    "op8_embeddings",
+    """WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, coalesce(c.c, e.vec_id) AS component_id,
+  e.vec_id = coalesce(c.c, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN comp c ON c.x = e.vec_id""",
+)
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op9_bpe")
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ["doc_id"], VOCABULARY, public_tokenizers.PATTERN)
+
+
+@query("op10_lm")
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.fit(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 10, 0))
+    return lm.score(docs, model, ["doc_id"]).select(
+        "doc_id", in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
