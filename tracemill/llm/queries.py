@@ -35,7 +35,8 @@ def tokens_estimate(text: str) -> F.Column:
 
 # Domains of the sources, and the weights of the mixture. Unlisted names weigh 1.
 DOMAINS = {"web": ["src0", "src1", "src2", "src3"], "books": ["src4", "src5", "src6", "src7"], "code": ["src8", "src9"]}
-WEIGHTS = {"domain": {"web": 0.4, "books": 0.3, "code": 0.1, "other": 0.2}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
+WEIGHTS = {"domain": {"web": 40.0, "books": 30.0, "code": 10.0, "other": 20.0}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}}
+MAX_EPOCHS, MIX_SEED = 4, 17
 
 
 def mixing_tree(docs: DataFrame) -> DataFrame:
@@ -69,10 +70,61 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op3_mixing")
+def _case(column: str, given: dict[str, float]) -> str:
+    whens = " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in given.items())
+    return f"CASE {whens} ELSE 1.0 END::DOUBLE" if given else "1.0::DOUBLE"
+
+
+def _share_sql(source: str, path: list[str], deeper: list[str]) -> str:
+    """CTEs that share each parent's budget among the nodes of one level; ends with ``<level>_budget``."""
+    level, keys = path[-1], ", ".join(path)
+    parent = f"PARTITION BY {', '.join(path[:-1])}" if path[:-1] else ""
+    before = f"OVER ({parent} ORDER BY fill, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    usable = " AND ".join([f"w_{c} > 0" for c in deeper]) or "true"
+    n = level
+    return f"""{n}_1 AS (
+  SELECT {keys}, sum(CASE WHEN {usable} THEN tokens * {MAX_EPOCHS} ELSE 0 END)::BIGINT AS cap, max(w_{level}) AS w, max(budget)::BIGINT AS parent
+  FROM {source} GROUP BY {keys}),
+{n}_2 AS (SELECT *, CASE WHEN w > 0 AND cap > 0 THEN w ELSE 0.0 END AS live, CASE WHEN w > 0 AND cap > 0 THEN cap / w ELSE 0.0 END AS fill FROM {n}_1),
+{n}_3 AS (
+  SELECT *, coalesce(sum(CASE WHEN live > 0 THEN cap ELSE 0 END) {before}, 0)::BIGINT AS used,
+    sum(live) OVER ({parent}) - coalesce(sum(live) {before}, 0.0) AS weight_left FROM {n}_2),
+{n}_4 AS (SELECT *, greatest(parent - used, 0) / weight_left AS lv FROM {n}_3),
+{n}_5 AS (
+  SELECT *, first_value(CASE WHEN live > 0 AND fill > lv THEN lv END IGNORE NULLS) OVER ({parent} ORDER BY fill, {level} ROWS UNBOUNDED PRECEDING) AS lvl FROM {n}_4),
+{n}_6 AS (SELECT *, CASE WHEN live <= 0 THEN 0.0 WHEN lvl IS NULL THEN cap::DOUBLE ELSE least(lvl * live, cap::DOUBLE) END AS exact FROM {n}_5),
+{n}_7 AS (
+  SELECT *, floor(exact)::BIGINT AS fl, live > 0 AND floor(exact)::BIGINT < cap AS can,
+    least(greatest(parent, 0), sum(CASE WHEN live > 0 THEN cap ELSE 0 END) OVER ({parent})) - sum(floor(exact)::BIGINT) OVER ({parent}) AS missing FROM {n}_6),
+{n}_8 AS (SELECT *, row_number() OVER ({parent} ORDER BY can DESC, exact - fl DESC, {level}) AS place FROM {n}_7),
+{n}_budget AS (
+  SELECT s.* EXCLUDE (budget), (n.fl + CASE WHEN n.can AND n.place <= n.missing THEN 1 ELSE 0 END)::BIGINT AS budget
+  FROM {source} s JOIN {n}_8 n USING ({keys}))"""
+
+
+_MIX_SQL = f"""WITH docs AS MATERIALIZED (
+  SELECT doc_id, CASE {' '.join(f"WHEN source IN ({', '.join(repr(x) for x in v)}) THEN '{k}'" for k, v in DOMAINS.items())} ELSE 'other' END AS domain,
+    coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+')) AS n_tokens FROM documents),
+leaves AS (
+  SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, {_case('domain', WEIGHTS['domain'])} AS w_domain, {_case('lang', WEIGHTS['lang'])} AS w_lang,
+    1.0::DOUBLE AS w_source, (SELECT sum(n_tokens)::BIGINT FROM docs) AS budget FROM docs GROUP BY domain, lang, source),
+{_share_sql('leaves', ['domain'], ['lang', 'source'])},
+{_share_sql('domain_budget', ['domain', 'lang'], ['source'])},
+{_share_sql('lang_budget', ['domain', 'lang', 'source'], [])},
+plan AS (SELECT domain, lang, source, tokens, budget, ceil(budget / tokens)::BIGINT AS epochs FROM source_budget WHERE budget > 0),
+entries AS (SELECT d.*, p.tokens, p.budget, unnest(range(p.epochs)) AS epoch FROM docs d JOIN plan p USING (domain, lang, source)),
+counted AS (
+  SELECT *, (epoch * tokens + coalesce(sum(n_tokens) OVER (
+    PARTITION BY domain, lang, source, epoch ORDER BY md5('{MIX_SEED}:' || epoch || ':' || doc_id), doc_id, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM entries)
+SELECT doc_id, domain, lang, source, epoch, start, n_tokens, least(n_tokens, budget - start) AS take_tokens FROM counted WHERE start < budget"""
+
+
+@query("op3_mixing", _MIX_SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each source gives to the mixture: documents, epochs and tokens taken."""
-    return mixing.mix(mixing_tree(table(spark, sf_dir, "documents")), WEIGHTS, None)
+    return mixing.mix(mixing_tree(table(spark, sf_dir, "documents")), WEIGHTS, None, MAX_EPOCHS, MIX_SEED)
 
 
 @query("op4_quality")
