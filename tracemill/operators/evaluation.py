@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLASSES = 1000
-
 
 def pair_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
@@ -41,11 +39,8 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
 
 
 def class_labels(rows: DataFrame, column: str = "y_true") -> list[str]:
-    """Sorted labels; refuses more than ``MAX_CLASSES``."""
-    found = rows.select(column).distinct().limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    return sorted(r[0] for r in found if r[0] is not None)
+    """Sorted labels: one name per class of the model. ``pair_counts`` has the same in long form."""
+    return sorted(r[0] for r in rows.select(column).distinct().toLocalIterator() if r[0] is not None)
 
 
 def confusion_matrix(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -59,7 +54,7 @@ def confusion_matrix(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
         .agg(F.sum("n"))
     )
     every = spark.createDataFrame([(label,) for label in labels], "y_true string")
-    return F.broadcast(every).join(counted, "y_true", "left").na.fill(0)
+    return every.join(counted, "y_true", "left").na.fill(0)
 
 
 def crosstab_margins(rows: DataFrame) -> DataFrame:

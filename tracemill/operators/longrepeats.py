@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.blocks import as_text
 from tracemill.operators.joins import HEAVY_ROWS, join_spread
 from tracemill.session import durable
 
@@ -156,3 +157,35 @@ def spell(repeats: DataFrame, tokens: DataFrame) -> DataFrame:
     ).withColumn("at", F.col("pos") + F.col("k"))
     symbols = tokens.select("trace_id", F.col("pos").alias("at"), "sym_id")
     return steps.join(symbols, ["trace_id", "at"]).drop("at")
+
+
+def spelled(repeats: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds ``gram`` (the symbols, one array as long as the repeat) and ``pattern``."""
+    keys = ["grp", "len", "trace_id", "pos"]
+    letters = F.sort_array(F.collect_list(F.struct("k", "sym_id")))
+    words = spell(repeats, tokens).groupBy(*keys).agg(letters.alias("__s"))
+    named = words.withColumn("gram", F.col("__s.sym_id")).drop("__s").withColumn("pattern", as_text("gram"))
+    return repeats.join(named, keys)
+
+
+def supermaximal_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS, min_traces: int = 1, min_len: int = 1) -> DataFrame:
+    """Repeats of any length that no longer repeat contains: ``(grp, len, gram, n_occ, n_traces)``.
+
+    ``min_traces`` and ``min_len`` are applied before the repeats are spelled out.
+    """
+    tokens = durable(tokens)
+    found = durable(
+        long_repeats(tokens, heavy_rows).where(
+            (F.col("n_witness") == F.col("n_occ")) & (F.col("n_traces") >= min_traces) & (F.col("len") >= min_len)
+        )
+    )
+    return spelled(found, tokens).select("grp", F.col("len").cast("int").alias("len"), "gram", "n_occ", "n_traces")
+
+
+def longest_repeated(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> int:
+    """Length of the longest repeat of any group; 0 if nothing repeats."""
+    places = durable(tokens.select("grp", "trace_id", "pos", "sym_id", F.monotonically_increasing_id().alias("gid")))
+    levels = _name_levels(places, heavy_rows)
+    if not levels:
+        return 0
+    return _longest_matches(places, levels, heavy_rows).agg(F.max("len")).head()[0] or 0

@@ -1,8 +1,11 @@
-"""Repeated subsequences of each group, up to a length bound.
+"""Repeated subsequences of each group, from counts of grams.
 
 A repeat is a subsequence with at least two occurrences in one group. All results
 come from aggregates over the gram table, so no group, trace or gram is ever
-brought together in one task.
+brought together in one task. The table has one row per position and length: where a
+bound is not given, the longest repeat is looked up first by doubling, and no length is
+left out. ``tracemill.operators.longrepeats`` finds (near-)supermaximal repeats of any
+length without the gram table.
 """
 
 from __future__ import annotations
@@ -11,9 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.operators.blocks import as_text, grams, to_blocks
+from tracemill.operators.blocks import BLOCK_SIZE, as_text, grams, own_positions, to_blocks
 from tracemill.operators.joins import join_spread
+from tracemill.operators.longrepeats import longest_repeated
 from tracemill.operators.ordering import rank_all
+from tracemill.session import durable
+
+
+def gram_blocks(tokens: DataFrame, before: int, after: int) -> DataFrame:
+    """Blocks whose margin may be of any length."""
+    return to_blocks(tokens, before=before, after=after, size=max(BLOCK_SIZE, 2 * after))
 
 
 def repeated_grams(tokens: DataFrame, min_len: int, max_len: int) -> DataFrame:
@@ -22,7 +32,7 @@ def repeated_grams(tokens: DataFrame, min_len: int, max_len: int) -> DataFrame:
     Occurrences are first counted per trace, so that the number of traces needs no
     distinct aggregate.
     """
-    found = grams(to_blocks(tokens, before=0, after=max_len), min_len, max_len)
+    found = grams(gram_blocks(tokens, 0, max_len), min_len, max_len)
     per_trace = found.groupBy("grp", "gram", "trace_id").agg(F.count(F.lit(1)).alias("n"))
     return (
         per_trace.groupBy("grp", "gram")
@@ -83,25 +93,31 @@ def shared_repeats(repeats: DataFrame, min_traces: int = 2, min_len: int = 3) ->
     return repeats.where((F.col("n_traces") >= min_traces) & (F.col("len") >= min_len))
 
 
-def context_histogram(tokens: DataFrame, min_len: int, max_len: int, side: str = "left") -> DataFrame:
-    """Occurrences of each gram by neighbour: ``(grp, gram, neighbour, n)``; NULL is a trace border."""
-    found = grams(to_blocks(tokens, before=1, after=max_len + 1), min_len, max_len)
-    return (
-        found.withColumnRenamed(f"{side}_sym", "neighbour")
-        .groupBy("grp", "gram", "neighbour")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def context_histogram(tokens: DataFrame, min_len: int = 1, max_len: int | None = None, side: str = "left") -> DataFrame:
+    """Occurrences of each repeated gram by neighbour: ``(grp, gram, neighbour, n)``; NULL is a trace border.
 
+    Without ``max_len`` all repeats are taken, however long; with it also grams that occur once.
+    """
+    bound = max_len or max(min_len, longest_repeated(tokens))
+    found = grams(gram_blocks(tokens, 1, bound + 1), min_len, bound)
+    counted = found.withColumnRenamed(f"{side}_sym", "neighbour").groupBy("grp", "gram", "neighbour").agg(F.count(F.lit(1)).alias("n"))
+    if max_len:
+        return counted
+    # Stored by gram: the sum over its neighbours tells whether it repeats.
+    total = counted.groupBy("grp", "gram").agg(F.sum("n").alias("__n")).where("__n >= 2").drop("__n")
+    return counted.join(total, ["grp", "gram"], "left_semi")
 
-def repeat_profile(tokens: DataFrame, max_len: int, min_len: int = 1) -> DataFrame:
-    """Occurrence, neighbour and witness counts of every repeat up to ``max_len``.
+
+def repeat_profile(tokens: DataFrame, max_len: int | None = None, min_len: int = 1) -> DataFrame:
+    """Occurrence, neighbour and witness counts of every repeat (up to ``max_len`` if it is given).
 
     Returns ``(grp, len, gram, n_occ, n_left, n_right, n_witness, percent)``. A witness is an
     occurrence whose left and right neighbours occur once each among the gram's occurrences;
     a trace border is a neighbour of its own. The totals per neighbour are taken under
     ``(gram, left)`` and ``(gram, right)``, never under the gram alone.
     """
-    found = grams(to_blocks(tokens, before=1, after=max_len + 1), min_len, max_len)
+    max_len = max_len or max(min_len, longest_repeated(tokens))
+    found = grams(gram_blocks(tokens, 1, max_len + 1), min_len, max_len)
     pairs = found.groupBy("grp", "gram", "left_sym", "right_sym").agg(F.count(F.lit(1)).alias("n"))
 
     def with_side(rows: DataFrame, side: str, other: str) -> DataFrame:
@@ -158,12 +174,22 @@ def maximal_repeats(profile: DataFrame) -> DataFrame:
     return profile.where("n_left >= 2 AND n_right >= 2")
 
 
-def occurrences(tokens: DataFrame, repeats: DataFrame, min_len: int, max_len: int) -> DataFrame:
-    """Start positions of each repeat: ``(grp, gram, trace_id, pos)``."""
-    found = grams(to_blocks(tokens, before=0, after=max_len), min_len, max_len)
-    places = found.select("grp", "gram", "trace_id", "pos")
-    wanted = repeats.select("grp", "gram", "n_occ")
-    return join_spread(places, wanted, ["grp", "gram"], "n_occ", ["trace_id", "pos"]).drop("n_occ")
+def occurrences(tokens: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Start positions of each repeat, of any length: ``(grp, gram, trace_id, pos)``.
+
+    Only the lengths that repeats have are cut out of the blocks.
+    """
+    wanted = durable(repeats.select("grp", "gram", "n_occ", F.size("gram").alias("len")))
+    by_group = wanted.groupBy("grp").agg(F.collect_set("len").alias("__lens"), F.max("len").alias("__most"))
+    longest = by_group.agg(F.max("__most")).head()[0] or 1
+    places = (
+        own_positions(gram_blocks(tokens, 0, longest))
+        .join(by_group.select("grp", "__lens"), "grp")
+        .withColumn("len", F.explode("__lens"))
+        .where(F.size("syms") - F.col("at") + 1 >= F.col("len"))
+        .select("grp", "trace_id", "pos", F.slice("syms", F.col("at"), F.col("len")).alias("gram"))
+    )
+    return join_spread(places, wanted.drop("len"), ["grp", "gram"], "n_occ", ["trace_id", "pos"]).drop("n_occ")
 
 
 def pattern_catalog(repeats: DataFrame) -> DataFrame:

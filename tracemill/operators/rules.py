@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.labels import DEFAULT_LABEL
 from tracemill.operators.automata import prefix_automaton
 
-# A tree of depth 10 has at most 1024 leaves with 10 conditions each.
-MAX_CONDITIONS = 100_000
+OPERATORS = (">", "<=", ">=", "<", "==")
 _RULES_TYPE = (
     "array<struct<cls:string,rule_id:bigint,"
     "conds:array<struct<pattern_id:bigint,op:string,value:double>>>>"
@@ -47,16 +46,16 @@ def above(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
 def rules_literal(conditions: DataFrame) -> Column:
     """The rule set as one constant column.
 
-    Rule sets are models, at most ``MAX_CONDITIONS`` conditions; larger ones are refused. As a
-    constant they are evaluated next to the scores, without a join or a shuffle.
+    A rule set is a model: its size follows from the depth of its trees, not from the data. As a
+    constant it is evaluated next to the scores, without a join or a shuffle. Operators other than
+    those of ``OPERATORS`` are refused.
     """
-    rows = conditions.select("cls", "rule_id", "pattern_id", "op", "value").limit(MAX_CONDITIONS + 1).collect()
-    if len(rows) > MAX_CONDITIONS:
-        raise ValueError(f"more than {MAX_CONDITIONS} conditions")
     rules: dict[tuple[str, int], list[dict]] = {}
-    for row in rows:
+    for row in conditions.select("cls", "rule_id", "pattern_id", "op", "value").toLocalIterator():
         conds = rules.setdefault((row["cls"], row["rule_id"]), [])
         if row["pattern_id"] is not None:  # a rule without conditions always holds
+            if row["op"] not in OPERATORS:
+                raise ValueError(f"unknown operator {row['op']!r} in rule {row['rule_id']} of {row['cls']}")
             conds.append({"pattern_id": row["pattern_id"], "op": row["op"], "value": float(row["value"])})
     document = [{"cls": c, "rule_id": r, "conds": conds} for (c, r), conds in sorted(rules.items())]
     return F.from_json(F.lit(json.dumps(document)), _RULES_TYPE)
@@ -102,14 +101,16 @@ def flags_by_class(conditions: DataFrame) -> DataFrame:
 
     The set holds at most one entry per pattern of the model.
     """
-    pairs = conditions.groupBy("cls", "pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = conditions.where("pattern_id IS NOT NULL").groupBy("cls", "pattern_id").agg(F.count(F.lit(1)).alias("n"))
     rules = conditions.groupBy("cls", "rule_id").agg(F.count(F.lit(1)).alias("n")).groupBy("cls").agg(
         F.count(F.lit(1)).alias("n_rules")
     )
     flags = pairs.groupBy("cls").agg(
         F.count(F.lit(1)).alias("n_flags"), F.sort_array(F.collect_list("pattern_id")).alias("flags")
     )
-    return rules.join(flags, "cls")
+    return rules.join(flags, "cls", "left").select(
+        "cls", "n_rules", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), F.coalesce("flags", F.array().cast("array<bigint>")).alias("flags")
+    )
 
 
 def rule_detectors(conditions: DataFrame, patterns: DataFrame) -> DataFrame:

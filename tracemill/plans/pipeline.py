@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.dictionary import build_dictionary, encode, extend_dictionary
-from tracemill.operators.repeats import longest_repeat, pattern_catalog, shared_repeats, supermaximal_repeats
+from tracemill.operators.longrepeats import supermaximal_repeats
+from tracemill.operators.repeats import pattern_catalog
 from tracemill.operators.rules import tree_verdict
 from tracemill.operators.similarity import feature_rows, prefix_similarity
 from tracemill.plans.learn import grid_search, rule_conditions, tree_nodes, tree_rules
@@ -24,16 +25,11 @@ class Patterns:
     count: int
 
 
-def learn_patterns(calls: DataFrame, max_len: int = 20, min_traces: int = 2, min_len: int = 3) -> Patterns:
-    """Mines the repeats shared by the traces of each group.
-
-    Raises if repeats of ``max_len`` symbols exist, since longer ones would be missed.
-    """
+def learn_patterns(calls: DataFrame, min_traces: int = 2, min_len: int = 3) -> Patterns:
+    """Mines the repeats, of any length, shared by the traces of each group."""
     dictionary = durable(build_dictionary(calls))
     coded = durable(encode(calls, dictionary).select("grp", "trace_id", "pos", "sym_id"))
-    if longest_repeat(coded, max_len + 1).where("reached").limit(1).count():
-        raise ValueError(f"repeats longer than max_len={max_len}; raise it or mine with longrepeats")
-    shared = shared_repeats(supermaximal_repeats(coded, max_len), min_traces, min_len)
+    shared = supermaximal_repeats(coded, min_traces=min_traces, min_len=min_len)
     patterns = durable(pattern_catalog(shared))
     return Patterns(dictionary, patterns, patterns.count())
 

@@ -9,7 +9,6 @@ from tracemill.operators.blocks import BLOCK_SIZE, as_text
 from tracemill.operators.dictionary import decode
 from tracemill.operators.evaluation import misclassified
 
-MAX_WIDE_COLUMNS = 20_000
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
@@ -71,8 +70,6 @@ def write_pattern_names(names: DataFrame, path: str) -> None:
 
 def wide_features(rows: DataFrame, n_patterns: int) -> DataFrame:
     """Feature rows with one column per pattern: ``Fichier, Patron_1 .. Patron_n, label``."""
-    if n_patterns > MAX_WIDE_COLUMNS:
-        raise ValueError(f"{n_patterns} columns; keep the array form beyond {MAX_WIDE_COLUMNS}")
     columns = [F.get("scores", F.lit(i)).alias(f"Patron_{i + 1}") for i in range(n_patterns)]
     return rows.select(F.col("trace_id").alias("Fichier"), *columns, "label")
 

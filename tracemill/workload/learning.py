@@ -51,11 +51,12 @@ def event_features(spark, d):
     "match_lengths",
     PATTERNS_SQL
     + """SELECT p.pattern_id, occ.trace_id, occ.pos, max(k) AS match_len
-FROM patterns p, range(4, 21) AS t(k), occ
-WHERE k <= len(p.w) AND occ.w = p.w[1:k] GROUP BY ALL""",
+FROM (SELECT pattern_id, w, unnest(range(least(4, len(w)), len(w) + 1)) AS k FROM patterns) p
+JOIN (SELECT trace_id, pos, len(w) AS l, array_to_string(w, ' ') AS t FROM occ WHERE len(w) <= (SELECT max(len(w)) FROM patterns)) occ
+  ON occ.l = k AND occ.t = array_to_string(p.w[1:k], ' ') GROUP BY ALL""",
 )
 def match_lengths(spark, d):
-    """At each position, how far each pattern matches from there; matches of four symbols or more."""
+    """At each position, how far each pattern matches from there; matches of four symbols or of the whole pattern."""
     coded, patterns = events_and_patterns(spark, d)
     blocks = similarity.pattern_blocks(patterns, coded)
     return similarity.match_lengths(patterns, blocks).select("pattern_id", "trace_id", "pos", "match_len")
@@ -105,7 +106,7 @@ def threshold_predicate(spark, d):
     "prefix_detect",
     PATTERNS_SQL
     + """SELECT occ.trace_id, p.pattern_id, count(*) AS n_hits, min(occ.pos) AS first_pos
-FROM patterns p JOIN occ ON occ.w = p.w[1:len(p.w) - 1] GROUP BY ALL""",
+FROM patterns p JOIN occ ON array_to_string(occ.w, ' ') = array_to_string(p.w[1:len(p.w) - 1], ' ') GROUP BY ALL""",
 )
 def prefix_detect(spark, d):
     """Traces that contain all but the last symbol of a pattern."""
@@ -122,10 +123,10 @@ def prefix_detect(spark, d):
     "dfa_transitions",
     PATTERNS_SQL
     + """, steps AS (
-  SELECT pattern_id, w, q, c FROM patterns, range(0, 20) AS t(q), (SELECT sym_id AS c FROM dict) a
+  SELECT pattern_id, w, q, c FROM patterns, range(0, len(w)) AS t(q), (SELECT sym_id AS c FROM dict) a
   WHERE q < len(w) AND list_contains(w, c))
 SELECT pattern_id, q AS src, c AS sym_id, max(j) AS dst
-FROM steps, range(0, 21) AS u(j)
+FROM steps, range(0, q + 2) AS u(j)
 WHERE j <= q + 1 AND array_to_string(w[1:j], ' ') = array_to_string(list_append(w[1:q], c)[q + 2 - j:q + 1], ' ')
 GROUP BY ALL""",
 )
@@ -257,10 +258,10 @@ def stream_detect(spark, d):
   SELECT DISTINCT c.cls, c.rule_id, c.pattern_id, floor(c.value)::BIGINT + 1 AS k, p.w[1:floor(c.value)::BIGINT + 1] AS w
   FROM conditions c JOIN patterns p USING (pattern_id)),
 steps AS (
-  SELECT cls, rule_id, pattern_id, k, w, q, c FROM prefixes, range(0, 20) AS t(q), (SELECT sym_id AS c FROM dict) a
+  SELECT cls, rule_id, pattern_id, k, w, q, c FROM prefixes, range(0, len(w)) AS t(q), (SELECT sym_id AS c FROM dict) a
   WHERE len(w) = k AND q < len(w) AND list_contains(w, c))
 SELECT cls, rule_id, pattern_id, k, q AS src, c AS sym_id, max(j) AS dst
-FROM steps, range(0, 21) AS u(j)
+FROM steps, range(0, q + 2) AS u(j)
 WHERE j <= q + 1 AND array_to_string(w[1:j], ' ') = array_to_string(list_append(w[1:q], c)[q + 2 - j:q + 1], ' ')
 GROUP BY ALL""",
 )

@@ -11,7 +11,6 @@ from tracemill.session import durable
 from tracemill.sources.tables import pattern_names
 from tracemill.workload.registry import query
 from tracemill.workload.tables import (
-    MAX_LEN,
     OCC_SQL,
     PATTERNS_SQL,
     PROFILE_SQL,
@@ -34,7 +33,7 @@ MAX_PERIOD = 16
 FROM profile WHERE n_witness = n_occ""",
 )
 def supermax_repeats(spark, d):
-    found = repeats.supermaximal_repeats(coded_events(spark, d), MAX_LEN)
+    found = longrepeats.supermaximal_repeats(coded_events(spark, d))
     return found.select("grp", "len", as_text("gram").alias("pattern"), "n_occ", "n_traces")
 
 
@@ -49,16 +48,19 @@ def profile_columns(profile):
 
 @query(
     "near_supermax_repeats",
-    PROFILE_SQL + f"SELECT {_PROFILE_COLUMNS} FROM profile WHERE n_witness >= 1 AND 100 * n_witness // n_occ >= 50",
+    PROFILE_SQL
+    + """SELECT grp, len(w) AS len, array_to_string(w, ' ') AS pattern, n_occ, n_traces, n_witness, 100 * n_witness // n_occ AS percent
+FROM profile WHERE n_witness >= 1 AND 100 * n_witness // n_occ >= 50""",
 )
 def near_supermax_repeats(spark, d):
-    profile = repeats.repeat_profile(coded_events(spark, d), MAX_LEN)
-    return profile_columns(repeats.near_supermaximal_repeats(profile, 50))
+    coded = durable(coded_events(spark, d))
+    found = durable(repeats.near_supermaximal_repeats(longrepeats.long_repeats(coded), 50))
+    return longrepeats.spelled(found, coded).select("grp", "len", "pattern", "n_occ", "n_traces", "n_witness", "percent")
 
 
 @query("maximal_repeats", PROFILE_SQL + f"SELECT {_PROFILE_COLUMNS} FROM profile WHERE n_left >= 2 AND n_right >= 2")
 def maximal_repeats(spark, d):
-    return profile_columns(repeats.maximal_repeats(repeats.repeat_profile(coded_events(spark, d), MAX_LEN)))
+    return profile_columns(repeats.maximal_repeats(repeats.repeat_profile(durable(coded_events(spark, d)))))
 
 
 @query(
@@ -71,32 +73,35 @@ def shared_supermax(spark, d):
 
 @query(
     "longest_repeat",
-    PROFILE_SQL + "SELECT grp, max(len(w)) AS longest, max(len(w)) >= 20 AS reached FROM profile GROUP BY grp",
+    PROFILE_SQL + "SELECT grp, max(len(w)) AS longest FROM profile GROUP BY grp",
 )
 def longest_repeat(spark, d):
-    return repeats.longest_repeat(coded_events(spark, d), MAX_LEN)
+    return longrepeats.long_repeats(coded_events(spark, d)).groupBy("grp").agg(F.max("len").alias("longest"))
 
 
 @query(
     "repeat_occurrences",
     SHARED_SQL
     + """SELECT occ.grp, array_to_string(occ.w, ' ') AS pattern, occ.trace_id, occ.pos
-FROM occ JOIN shared ON occ.grp = shared.grp AND occ.w = shared.w""",
+FROM occ JOIN shared ON occ.grp = shared.grp AND array_to_string(occ.w, ' ') = array_to_string(shared.w, ' ')""",
 )
 def repeat_occurrences(spark, d):
     coded = durable(coded_events(spark, d))
-    found = repeats.occurrences(coded, mined(coded), 3, MAX_LEN)
+    found = repeats.occurrences(coded, mined(coded))
     return found.select("grp", as_text("gram").alias("pattern"), "trace_id", "pos")
 
 
 @query(
     "context_histogram",
     OCC_SQL
-    + """SELECT grp, array_to_string(w, ' ') AS gram, CASE WHEN lf < 0 THEN NULL ELSE lf END AS neighbour, count(*) AS n
-FROM occ WHERE len(w) <= 4 GROUP BY ALL""",
+    + """SELECT grp, gram, neighbour, n FROM (
+  SELECT *, sum(n) OVER (PARTITION BY grp, gram) AS total FROM (
+    SELECT grp, array_to_string(w, ' ') AS gram, CASE WHEN lf < 0 THEN NULL ELSE lf END AS neighbour, count(*) AS n FROM occ GROUP BY ALL) c) t
+WHERE total >= 2""",
 )
 def context_histogram(spark, d):
-    found = repeats.context_histogram(coded_events(spark, d), 1, 4)
+    """Every repeat of any length."""
+    found = repeats.context_histogram(durable(coded_events(spark, d)))
     return found.select("grp", as_text("gram").alias("gram"), "neighbour", "n")
 
 
@@ -136,12 +141,8 @@ def decode_patterns(spark, d):
 def near_supermax_any_length(spark, d):
     """By doubling, without a length bound."""
     coded = durable(coded_events(spark, d))
-    found = durable(longrepeats.long_repeats(coded))
-    keys = ["grp", "len", "trace_id", "pos"]
-    letters = F.sort_array(F.collect_list(F.struct("k", "sym_id")))
-    spelled = longrepeats.spell(found, coded).groupBy(*keys).agg(letters.alias("__s"))
-    named = spelled.withColumn("gram", F.col("__s.sym_id")).withColumn("pattern", as_text("gram"))
-    return named.join(found, keys).select("grp", "len", "pattern", "n_occ", "n_traces", "n_witness", "percent")
+    found = longrepeats.spelled(durable(longrepeats.long_repeats(coded)), coded)
+    return found.select("grp", "len", "pattern", "n_occ", "n_traces", "n_witness", "percent")
 
 
 @query("document_repeats")

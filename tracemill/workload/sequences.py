@@ -153,9 +153,7 @@ FROM stopped GROUP BY trace_id""",
 )
 def bad_line_stats(spark, d):
     marked = mark_bad_lines(damaged_lines(spark, d))
-    kept = stop_at_first_bad(marked).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_kept"))
-    stats = line_stats(marked).select("trace_id", "n_good", "n_bad")
-    return stats.join(kept, "trace_id", "left").na.fill(0, ["n_kept"])
+    return line_stats(marked).select("trace_id", "n_good", "n_bad", "n_kept")
 
 
 def named_files(spark, d):

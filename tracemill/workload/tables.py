@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.dictionary import build_dictionary, encode
 from tracemill.operators.ordering import number_rows
-from tracemill.operators.repeats import pattern_catalog, shared_repeats, supermaximal_repeats
+from tracemill.operators.longrepeats import supermaximal_repeats
+from tracemill.operators.repeats import pattern_catalog
 from tracemill.session import durable
 
-MAX_LEN = 20
-FEATURE_LEN = 8
 GROUPS = 5
 
 # Characters that separate words; the same class in both engines.
@@ -55,13 +54,13 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mined(coded: DataFrame) -> DataFrame:
-    """Repeats shared by two or more traces of a group."""
-    return shared_repeats(supermaximal_repeats(coded, MAX_LEN))
+    """Repeats of three or more symbols shared by two or more traces of a group."""
+    return supermaximal_repeats(coded, min_traces=2, min_len=3)
 
 
 def feature_patterns(coded: DataFrame) -> DataFrame:
-    """The longer shared repeats, numbered: ``pattern_id, grp, len, gram, pattern, ...``."""
-    return pattern_catalog(shared_repeats(supermaximal_repeats(coded, MAX_LEN), min_len=FEATURE_LEN))
+    """The shared repeats, numbered: ``pattern_id, grp, len, gram, pattern, ...``."""
+    return pattern_catalog(mined(coded))
 
 
 # --- The same in SQL -----------------------------------------------------------------------
@@ -82,11 +81,11 @@ PLACES = """places AS (
   SELECT grp, trace_id, s, unnest(range(1, len(s) + 1)) AS i FROM seq)"""
 
 # Occurrences with neighbours; a trace border is a neighbour of its own.
-OCC = """occ AS (
+OCC = """occ AS MATERIALIZED (
   SELECT grp, trace_id, i - 1 AS pos, s[i:i + l - 1] AS w,
          CASE WHEN i = 1 THEN -1 - trace_id ELSE s[i - 1] END AS lf,
          CASE WHEN i + l > len(s) THEN -1 - trace_id ELSE s[i + l] END AS rt
-  FROM places, range(1, 21) AS t(l) WHERE i + l - 1 <= len(s))"""
+  FROM places, range(1, len(s) + 1) AS t(l) WHERE i + l - 1 <= len(s))"""
 
 PROFILE = """profile AS (
   SELECT grp, w, count(*) AS n_occ, count(DISTINCT lf) AS n_left, count(DISTINCT rt) AS n_right,
@@ -95,17 +94,18 @@ PROFILE = """profile AS (
                count(*) OVER (PARTITION BY grp, w, rt) AS cr FROM occ) o
   GROUP BY grp, w HAVING count(*) >= 2)"""
 
-SHARED = """shared AS (
+SHARED = """shared AS MATERIALIZED (
   SELECT grp, w, n_occ, n_traces FROM profile WHERE n_witness = n_occ AND n_traces >= 2 AND len(w) >= 3)"""
 
 PATTERNS = """patterns AS (
   SELECT row_number() OVER (ORDER BY grp, len(w) DESC, array_to_string(w, ' ')) AS pattern_id, *
-  FROM shared WHERE len(w) >= 8)"""
+  FROM shared)"""
 
 SCORES = """scores AS (
   SELECT q.grp, q.trace_id, p.pattern_id, max(k) AS score
-  FROM patterns p, range(1, 21) AS t(k), (SELECT DISTINCT grp, trace_id, w FROM occ) q
-  WHERE k <= len(p.w) AND q.w = p.w[1:k]
+  FROM (SELECT pattern_id, unnest(range(1, len(w) + 1)) AS k, w FROM patterns) p,
+       (SELECT DISTINCT grp, trace_id, len(w) AS l, array_to_string(w, ' ') AS t FROM occ WHERE len(w) <= (SELECT max(len(w)) FROM patterns)) q
+  WHERE q.l = k AND q.t = array_to_string(p.w[1:k], ' ')
   GROUP BY ALL)"""
 
 
