@@ -42,9 +42,9 @@ from tracemill.llm.common import map_blocks, open_folder, shared_path, text_bloc
 # Word hashes of the marks; a word that hashed to one of them would be taken for it.
 END, START = np.uint64(1), np.uint64(2)
 # Bigrams a task collects before it deals them out, and bytes of text to aim at in a cell.
-DEAL = 5_000_000
+DEAL = 2_500_000
 CELL_BYTES = 24_000_000
-CACHE = 500_000
+CACHE = 250_000
 
 
 class Words:
@@ -478,5 +478,5 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
 
         return work
 
-    scored = map_blocks(docs, keys, text, SCHEMA, start, 24_000_000)
+    scored = map_blocks(docs, keys, text, SCHEMA, start, 10_000_000)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
