@@ -23,8 +23,6 @@ from tracemill.workload.tables import (
     mined,
 )
 
-MAX_PERIOD = 16
-
 
 @query(
     "supermax_repeats",
@@ -161,7 +159,7 @@ _SQUARES = """hits AS (
   SELECT grp, trace_id, i AS start, l AS period, s[i:i + l - 1] AS w,
          i + 2 * l > len(s) OR s[i + 2 * l] <> s[i] AS branching,
          NOT EXISTS (FROM range(1, l) d(x) WHERE l % x = 0 AND s[i:i + l - 1 - x] = s[i + x:i + l - 1]) AS primitive
-  FROM places, range(1, 17) AS t(l)
+  FROM places, range(1, len(s) // 2 + 1) AS t(l)
   WHERE i + 2 * l - 1 <= len(s) AND s[i:i + l - 1] = s[i + l:i + 2 * l - 1])"""
 
 # Runs: consecutive starts of one period.
@@ -181,16 +179,16 @@ RUNS_SQL = SEQ_SQL.rstrip() + ",\n" + _SQUARES + ",\n" + _RUNS + "\n"
     SEQ_SQL
     + """SELECT trace_id, i AS start, l AS period FROM (
   SELECT trace_id, i, l, lead(i) OVER (PARTITION BY trace_id, l, s[i:i + l - 1] ORDER BY i) AS next_i
-  FROM places, range(1, 17) AS t(l) WHERE i + l - 1 <= len(s)) n
+  FROM places, range(1, len(s) // 2 + 1) AS t(l) WHERE i + l - 1 <= len(s)) n
 WHERE next_i - i = l""",
 )
 def tandem_primitive(spark, d):
-    return tandem.primitive_tandem_repeats(coded_events(spark, d), MAX_PERIOD)
+    return tandem.primitive_tandem_repeats(durable(coded_events(spark, d)))
 
 
 @query("tandem_runs", RUNS_SQL + "SELECT trace_id, period, start, stop, reps FROM runs")
 def tandem_runs(spark, d):
-    return tandem.tandem_runs(coded_events(spark, d), MAX_PERIOD).drop("grp")
+    return tandem.tandem_runs(durable(coded_events(spark, d))).drop("grp")
 
 
 @query(
@@ -200,7 +198,7 @@ def tandem_runs(spark, d):
 FROM runs GROUP BY trace_id""",
 )
 def tandem_periods(spark, d):
-    return tandem.period_summary(tandem.tandem_runs(coded_events(spark, d), MAX_PERIOD))
+    return tandem.period_summary(tandem.tandem_runs(durable(coded_events(spark, d))))
 
 
 @query(
@@ -216,7 +214,7 @@ islands AS (
 SELECT trace_id, min(start) AS start, max(stop) AS stop, count(*) AS n_runs FROM islands GROUP BY trace_id, island""",
 )
 def tandem_fused(spark, d):
-    return tandem.fuse_overlapping(tandem.tandem_runs(coded_events(spark, d), MAX_PERIOD))
+    return tandem.fuse_overlapping(tandem.tandem_runs(durable(coded_events(spark, d))))
 
 
 @query(
@@ -228,7 +226,7 @@ canon AS (
 SELECT rotation, count(*) AS n_words, sum(n)::BIGINT AS n_squares FROM canon GROUP BY rotation""",
 )
 def rotation_classes(spark, d):
-    found = tandem.squares(coded_events(spark, d), MAX_PERIOD).where("primitive")
+    found = tandem.squares(durable(coded_events(spark, d))).where("primitive")
     return tandem.rotation_classes(found).withColumn("rotation", as_text("rotation"))
 
 
@@ -254,7 +252,7 @@ def collapse_tandem(spark, d):
 @query("collapse_fixpoint")
 def collapse_fixpoint(spark, d):
     """Loop until stable: no SQL; tested against a plain loop."""
-    return tandem.collapse_until_stable(coded_events(spark, d), 3).select("trace_id", "pos", "sym_id")
+    return tandem.collapse_until_stable(coded_events(spark, d)).select("trace_id", "pos", "sym_id")
 
 
 @query(
@@ -262,7 +260,7 @@ def collapse_fixpoint(spark, d):
     SQUARES_SQL + "SELECT trace_id, start, period, \"primitive\", branching FROM hits",
 )
 def tandem_classes(spark, d):
-    found = tandem.squares(coded_events(spark, d), MAX_PERIOD)
+    found = tandem.squares(durable(coded_events(spark, d)))
     return found.select("trace_id", "start", "period", "primitive", "branching")
 
 
@@ -271,7 +269,7 @@ def tandem_classes(spark, d):
     RUNS_SQL
     + """SELECT h.trace_id, h.start, h.period, (r.stop - h.start) // h.period AS reps
 FROM hits h JOIN runs r ON r.trace_id = h.trace_id AND r.period = h.period AND h.start >= r.start AND h.start < r.stop - r.period
-WHERE h.primitive AND h.start + 2 * h.period <= r.stop AND (r.stop - h.start) // h.period >= 3""",
+WHERE h.primitive AND h.start + 2 * h.period <= r.stop AND (r.stop - h.start) // h.period >= 2""",
 )
 def tandem_arrays(spark, d):
-    return tandem.tandem_arrays(durable(coded_events(spark, d)), MAX_PERIOD)
+    return tandem.tandem_arrays(durable(coded_events(spark, d)))
