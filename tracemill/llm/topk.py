@@ -97,10 +97,12 @@ def search(matrix: np.ndarray, ids: np.ndarray, index: dict[str, np.ndarray], qu
     rounds = np.quantile(loss, (0.1, 0.3)) if loss.size else []
     for bound in [*np.floor(rounds).astype(np.int64), None]:
         ready = ~done if bound is None else ~done & (loss < bound)
-        for d, s in zip(*np.nonzero(ready)):
-            postings = index["order"][used[d], cuts[s] : cuts[s + 1]]
-            lost[postings] += loss[d, s]
-            met[postings] += 1
+        picked = [index["order"][used[d], cuts[s] : cuts[s + 1]] for d, s in zip(*np.nonzero(ready))]
+        if picked:
+            postings = np.concatenate(picked)
+            # Sums of whole numbers as doubles: exact below 2^53.
+            lost += np.bincount(postings, np.repeat(loss[ready], [len(p) for p in picked]), n).astype(np.int64)
+            met += np.bincount(postings, minlength=n)
         done |= ready
         upper = ceiling - lost - (0 if bound is None else (len(used) - met) * bound)
         upper[own] = np.iinfo(np.int64).min
