@@ -30,6 +30,16 @@ def test_rules_say_what_the_tree_says(spark, rows):
     assert [r.n for r in holds] == [1]
 
 
+def test_flags_operators_and_rules_without_conditions(spark, rows):
+    schema = "cls string, rule_id long, pattern_id long, op string, value double"
+    always = spark.createDataFrame([("upx", 1, None, None, None), ("mew", 2, 3, ">", 1.0), ("mew", 2, 1, ">", 2.0)], schema)
+    flags = {r.cls: (r.n_rules, r.n_flags, r.flags) for r in rules.flags_by_class(always).collect()}
+    assert flags == {"upx": (1, 0, []), "mew": (1, 2, [1, 3])}
+    assert {r.y_pred for r in pipeline.detect(rows, always.where("cls = 'upx'")).collect()} == {"upx"}
+    with pytest.raises(ValueError):
+        pipeline.detect(rows, spark.createDataFrame([("a", 1, 1, "<>", 1.0)], schema))
+
+
 def test_single_leaf(spark, rows):
     one = rows.where("label = 'upx'")
     model = learn.fit_tree(one, 2)
@@ -87,7 +97,7 @@ def test_pipeline_end_to_end(spark):
     labels.append((99, "upx"))
     df = spark.createDataFrame(calls, "grp string, trace_id long, pos long, sym string")
     traces = spark.createDataFrame(labels, "trace_id long, label string")
-    learned = pipeline.learn_patterns(df, max_len=12)
+    learned = pipeline.learn_patterns(df)
     assert learned.count > 0
     rows = pipeline.score_traces(df, traces, learned).cache()
     assert set(rows.where("trace_id = 99").first().scores) == {0}
@@ -99,8 +109,6 @@ def test_pipeline_end_to_end(spark):
     assert pipeline.detect(scored, conditions).count() == 1
     coded, grown = pipeline.encode_with_growth(fresh, learned.dictionary)
     assert grown.count() == learned.dictionary.count() + 1 and coded.count() == 5
-    with pytest.raises(ValueError):
-        pipeline.learn_patterns(df, max_len=3)
 
 
 @pytest.mark.parametrize("block_size", [4, 4096])

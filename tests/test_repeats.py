@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 import brute
 from tracemill.operators import longrepeats, repeats, substrings
+from tracemill.operators.dictionary import encode
 from tracemill.operators.joins import join_spread
+from tracemill.plans import pipeline
 
 
 def random_traces(seed, alphabet=3, groups=2, traces=4, longest=25):
@@ -25,7 +27,7 @@ def test_supermaximal_golden(tokens):
     df = tokens({(0, 0): [4, 1, 2, 3, 4, 1, 2, 3, 2, 2]})
     found = [(tuple(r.gram), r.n_occ) for r in repeats.supermaximal_repeats(df, 6).collect()]
     assert found == [((4, 1, 2, 3), 2)]
-    places = repeats.occurrences(df, repeats.supermaximal_repeats(df, 6), 1, 6)
+    places = repeats.occurrences(df, longrepeats.supermaximal_repeats(df))
     assert sorted(r.pos for r in places.collect()) == [0, 4]
     near = repeats.near_supermaximal_repeats(repeats.repeat_profile(df, 6), 50)
     got = {tuple(r.gram): (r.n_occ, r.n_witness, r.percent) for r in near.collect()}
@@ -91,6 +93,31 @@ def test_long_copies(tokens):
     assert [r.reached for r in bound] == [True]
 
 
+def test_patterns_of_any_length_are_learned(spark):
+    """A repeat of 3,000 symbols, longer than a block, through the entry point."""
+    r = random.Random(7)
+    passage = [f"s{r.randint(1, 60)}" for _ in range(3000)]
+    rows = [("g", t, i, s) for t, seq in ((0, ["a", *passage, "b"]), (1, ["c", "d", *passage])) for i, s in enumerate(seq)]
+    calls = spark.createDataFrame(rows, "grp string, trace_id long, pos long, sym string")
+    learned = pipeline.learn_patterns(calls)
+    best = learned.patterns.orderBy(F.desc("len")).first()
+    assert best.len == len(best.gram) == 3000 and best.n_traces == 2
+    coded = encode(calls, learned.dictionary).select("grp", "trace_id", "pos", "sym_id")
+    places = repeats.occurrences(coded, learned.patterns.where("len = 3000")).collect()
+    assert sorted((x.trace_id, x.pos) for x in places) == [(0, 1), (1, 2)]
+
+
+def test_contexts_and_profiles_without_a_bound(tokens):
+    traces = random_traces(9)
+    df = tokens(traces)
+    full = repeats.repeat_profile(df).collect()
+    contexts = repeats.context_histogram(df).groupBy("grp", "gram").agg(F.sum("n").alias("n")).collect()
+    for g in (0, 1):
+        want = brute.profile(traces, g)
+        assert {tuple(r.gram): (r.n_occ, r.n_left, r.n_right, r.n_witness) for r in full if r.grp == g} == want
+        assert {tuple(r.gram): r.n for r in contexts if r.grp == g} == {w: v[0] for w, v in want.items()}
+
+
 def test_blocks_do_not_change_the_result(tokens):
     """One trace over several blocks: repeats across the seams are found once."""
     r = random.Random(6)

@@ -1,6 +1,8 @@
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tracemill.functions import calls, labels
@@ -187,3 +189,22 @@ def test_rule_files(spark, tmp_path):
     text = rules_text.rule_lines(rules)
     assert text.first().line == "Règle 5: Patron_3 > 2.5 && Patron_4 <= 1.0"
     assert [tuple(r) for r in rules_text.parse_rules(text).collect()] == [("upx", 5, 0, 3, ">", 2.5), ("upx", 5, 1, 4, "<=", 1.0)]
+
+
+def test_rules_without_conditions_and_large_numbers(spark):
+    kind = "cls string, rule_id long, conditions array<struct<pattern_id:long,op:string,value:double>>"
+    given = [("upx", 7, []), ("upx", 8, [(1, ">", 12345678.5), (2, "<=", -0.25), (3, "==", 1e-30)])]
+    back = rules_text.parse_rules(rules_text.rule_lines(spark.createDataFrame(given, kind)))
+    got = sorted(map(tuple, back.collect()), key=str)
+    want = [("upx", 7, None, None, None, None), ("upx", 8, 0, 1, ">", 12345678.5), ("upx", 8, 1, 2, "<=", -0.25), ("upx", 8, 2, 3, "==", 1e-30)]
+    assert got == want
+    assert "12345678.5 " in rules_text.rule_lines(spark.createDataFrame(given[1:], kind)).first().line
+    with pytest.raises(Exception, match="without a number"):
+        rules_text.parse_rules(spark.createDataFrame([("a", "Règle x: Patron_1 > 2")], "cls string, line string")).collect()
+
+
+def test_kept_lines_are_counted_without_blanks(spark):
+    lines = ["", '{"FunctionName": "a"}', "{broken", '{"FunctionName": "b"}']
+    df = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "trace_id long, pos long, line string")
+    stats = calls.line_stats(calls.mark_bad_lines(df)).collect()
+    assert [(r.n_good, r.n_bad, r.n_kept) for r in stats] == [(2, 1, 1)]
