@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, html, langid, lm, mixing, quality, simhash, topk, vectors, warc
+from tracemill.llm import bpe, fim, html, langid, lm, mixing, pieces, quality, simhash, topk, vectors, warc, whiten
 from tracemill.llm.common import in_fold, table
 
 QUERIES: dict = {}
@@ -24,6 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 KEEP_QUALITY = 0.7
 
 
@@ -186,3 +187,43 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
+
+
+@query("op11_whiten")
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that no long holds is NULL; ``deviation_exact`` has it."""
+    found = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    long = F.col("deviation").try_cast("long")
+    return found.select("vec_id", "component", "n", long.alias("deviation"), "whitened", "explained", "identity_error", F.col("deviation").alias("deviation_exact"))
+
+
+@query(
+    "op12_fim",
+    """WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS toks FROM documents),
+c AS (
+  SELECT doc_id, text, toks, len(toks) AS n, ('0x' || h[1:8])::BIGINT % (len(toks) + 1) AS r1, ('0x' || h[9:16])::BIGINT % (len(toks) + 1) AS r2,
+    ('0x' || h[17:24])::BIGINT % 100 AS r3, ('0x' || h[25:32])::BIGINT % 100 AS r4 FROM d),
+f AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r3 >= 50 THEN 'plain'
+      WHEN r4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(toks[1:least(r1, r2)], '') AS p, array_to_string(toks[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+    array_to_string(toks[greatest(r1, r2) + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM f""",
+)
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fim.restore("output", "form")).alias("restored_sha256"),
+    )
+
+
+@query("op13_pieces")
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(table(spark, sf_dir, "documents"), ["doc_id"], PIECES)
