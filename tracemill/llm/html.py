@@ -16,6 +16,7 @@ Ties go to the path that sorts first. Columns of the input other than id, url an
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -26,15 +27,20 @@ from tracemill.llm.common import text_blocks
 from tracemill.operators.joins import join_spread
 from tracemill.session import BROADCAST_ROWS, durable
 
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*>|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+# The rest of a tag up to its end; quotes count only where a value begins. Nothing is tried twice.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|))*+>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"""\b(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)""", re.I)
 _NUMBER = re.compile(r"\d+")
 _WORD = re.compile(r"[a-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
+# Those that go on to the end of the page if they are not closed.
+ENDLESS = frozenset("script style".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+    """a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace mpadded semantics""".split()
 )
 CONTAINERS = frozenset("html body div section article main center td table tbody tr blockquote ul ol dl figure details".split())
 # Parts that are never main text, by tag and by the words of class, id or role.
@@ -51,125 +57,265 @@ CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "t
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 
+class _Parts:
+    """The tags and texts of a page, in order: ``(text, None, False, "")`` or ``("", tag, is_end, attributes)``.
+
+    Time grows with the length of the page, whatever it holds. A ``<`` without an end of its tag is text.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.last = html.rfind(">")
+        self.loose = False  # a tag was found whose quotes never close: they count no more
+        self.closed: dict[str, bool] = {}
+
+    def _tag_end(self, at: int) -> int:
+        if not self.loose:
+            m = _REST.match(self.html, at)
+            if m:
+                return m.end()
+            self.loose = True
+        return self.html.find(">", at) + 1
+
+    def _skip_raw(self, tag: str, at: int) -> int:
+        """Where the content and end tag of a raw element end; ``at`` if it is never closed."""
+        end = None
+        if self.closed.get(tag, True):
+            end = re.compile(rf"</{tag}(?=[\\s/>])[^>]*+>", re.I).search(self.html, at)
+            self.closed[tag] = end is not None
+        return end.end() if end else len(self.html) if tag in ENDLESS else at
+
+    def __iter__(self):
+        html, at = self.html, 0
+        while True:
+            start = html.find("<", at)
+            while 0 <= start <= self.last and not (html[start + 1 : start + 2] in ("!", "?", "/") or _NAME.match(html, start + 1)):
+                start = html.find("<", start + 1)
+            if start < 0 or start > self.last:
+                yield html[at:], None, False, ""
+                return
+            if start > at:
+                yield html[at:start], None, False, ""
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                if end < 0:
+                    return
+                at = end + 3
+                continue
+            is_end = html[start + 1] == "/"
+            name = _NAME.match(html, start + 1 + is_end)
+            if name is None:  # a declaration
+                at = html.find(">", start) + 1
+                continue
+            tag = name[0].lower()
+            at = self._tag_end(name.end())
+            rest = html[name.end() : at - 1]
+            yield "", tag, is_end, rest
+            if tag in RAW and not is_end and (tag in ENDLESS or not rest.endswith("/")):
+                at = self._skip_raw(tag, at)
+
+
+# Why an element may be left out: its tag, its names, or its names though some of them are those of main text.
+BY_TAG, BY_NAME, DOUBTFUL = 1, 2, 3
+
+
 class Page:
-    """Containers and text blocks of a page."""
+    """Containers and text blocks of a page.
+
+    Elements that are never main text by tag or by name are left out, unless the page would lose its text
+    with them: where no ``article`` or ``main`` stands outside of them, those that hold one stay, and
+    doubtful ones that hold more than half of the text; where nothing at all would be left, those told by
+    name stay, and if that is not enough, all.
+    """
 
     def __init__(self, html: str | None) -> None:
-        self.paths: list[str] = ["html"]  # path of each container
-        self.parents: list[int] = [-1]
-        self.good: list[bool] = [False]
-        self.blocks: list[tuple[int, str, int]] = []  # container, text, characters in links
+        # Node 0 is the page. Paths are numbers of (path of the parent, name); only a winner is spelled out.
+        self.parents, self.paths = [-1], [0]
+        self.known: dict[tuple[int, str], int] = {(-1, "html"): 0}
+        self.spelled: list[tuple[int, str]] = [(-1, "html")]
+        self.good, self.main, self.flags = [False], [False], [0]
+        # Pieces of text with their node, and characters in links, of each block.
+        self._pieces: list[tuple[list[tuple[int, str]], int]] = []
         self._parse(html or "")
+        self.alive = self._alive()
+        self.blocks: list[tuple[int, str, int]] = []  # node, text, characters in links
+        for pieces, links in self._pieces:
+            kept = [(node, part) for node, part in pieces if self.alive[node]]
+            line = " ".join(unescape("".join([part for _, part in kept])).split())
+            if line:
+                self.blocks.append((kept[0][0], line, links))
+
+    def _node(self, parent: int, tag: str, rest: str) -> int:
+        """The node of an element; its parent's if it is neither a container nor to be left out."""
+        found = _ATTR.findall(rest) if rest else []
+        words = set(_WORD.findall(" ".join(v.strip("\"'").lower() for _, v in found)))
+        good = tag in ("article", "main") or not words.isdisjoint(GOOD_WORDS)
+        flag = 0
+        if tag in NEVER_TAGS:
+            flag = BY_TAG
+        elif tag not in ("html", "body") and not words.isdisjoint(NEVER_WORDS):
+            flag = 0 if tag == "main" else DOUBTFUL if good else BY_NAME
+        if tag == "html" or not flag and tag not in CONTAINERS:
+            return parent
+        classes = {_NUMBER.sub("#", c) for k, v in found if k.lower() == "class" for c in v.strip("\"'").lower().replace(">", "").split()}
+        key = (self.paths[parent], ".".join([tag, *sorted(classes)]))
+        if key not in self.known:
+            self.known[key] = len(self.spelled)
+            self.spelled.append(key)
+        self.parents.append(parent)
+        self.paths.append(self.known[key])
+        self.good.append(good)
+        self.main.append(tag in ("article", "main"))
+        self.flags.append(flag)
+        return len(self.parents) - 1
 
     def _parse(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = []  # tag, container, never
-        text: list[str] = []
+        stack: list[tuple[str, int, bool]] = []  # tag, node, whether it is a scope
+        opened: Counter[str] = Counter()  # open elements, and those of the innermost scope
+        scopes: list[tuple[str, Counter[str]]] = [("", Counter())]
+        text: list[tuple[int, str]] = []
         in_link = links = 0
-        at, n = 0, len(html)
 
         def flush() -> None:
-            nonlocal links
+            nonlocal text, links
             if text:
-                line = " ".join(unescape("".join(text)).split())
-                if line:
-                    self.blocks.append((stack[-1][1] if stack else 0, line, links))
-                text.clear()
-            links = 0
+                self._pieces.append((text, links))
+            text, links = [], 0
 
         def close(tag: str) -> None:
             nonlocal in_link
             while stack:
-                name = stack.pop()[0]
-                if name == "a":
-                    in_link -= 1
+                name, _, scope = stack.pop()
+                opened[name] -= 1
+                if scope:
+                    scopes.pop()
+                else:
+                    scopes[-1][1][name] -= 1
+                in_link -= name == "a"
                 if name == tag:
                     return
 
-        for m in _TAG.finditer(html):
-            start = m.start()
-            if start < at:
-                continue  # inside a script or the like
-            if start > at and not (stack and stack[-1][2]):
-                part = html[at:start]
-                text.append(part)
+        for part, tag, is_end, rest in _Parts(html):
+            if tag is None:
+                text.append((stack[-1][1] if stack else 0, part))
                 if in_link:
                     links += len(part)
-            at = m.end()
-            tag = m["tag"]
-            if tag is None:
                 continue
-            tag = tag.lower()
-            block = tag not in INLINE
-            if block:
+            if tag not in INLINE:
                 flush()
-            if m["end"]:
-                if any(e[0] == tag for e in stack):
+            if is_end:
+                if opened[tag]:
                     close(tag)
                 continue
-            if tag in VOID:
-                continue
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+            if tag in VOID or tag in RAW:
                 continue
             for ended in CLOSES.get(tag, ("p",) if tag in CLOSES_P else ()):
-                # Only within the innermost container of that kind of element.
-                for e in reversed(stack):
-                    if e[0] == ended:
-                        close(ended)
-                        break
-                    if e[0] in CONTAINERS or e[0] in NEVER_TAGS:
-                        break
-            container, never = (stack[-1][1], stack[-1][2]) if stack else (0, False)
-            if not never:
-                rest = m["rest"]
-                names = [v.strip("\"'").lower() for _, v in _ATTR.findall(rest)] if rest else []
-                words = set(_WORD.findall(" ".join(names)))
-                never = tag in NEVER_TAGS or tag not in ("html", "body", "article", "main") and not words.isdisjoint(NEVER_WORDS)
-                if not never and tag in CONTAINERS and tag != "html":
-                    classes = [v.strip("\"'").lower() for k, v in _ATTR.findall(rest) if k.lower() == "class"] if rest else []
-                    name = ".".join([tag, *sorted({_NUMBER.sub("#", c) for v in classes for c in v.split()})])
-                    self.paths.append(f"{self.paths[container]}>{name}")
-                    self.parents.append(container)
-                    self.good.append(tag in ("article", "main") or not words.isdisjoint(GOOD_WORDS))
-                    container = len(self.paths) - 1
-            if tag == "a":
-                in_link += 1
-            if not (m["rest"] or "").rstrip().endswith("/") or tag not in ("br", "hr"):
-                stack.append((tag, container, never))
-        if at < n and not (stack and stack[-1][2]):
-            text.append(html[at:])
+                # Only within the innermost scope.
+                if scopes[-1][0] == ended or scopes[-1][1][ended]:
+                    close(ended)
+            if rest.endswith("/") and tag in INLINE:
+                continue
+            parent = stack[-1][1] if stack else 0
+            node = self._node(parent, tag, rest)
+            scope = tag in CONTAINERS or tag in NEVER_TAGS
+            stack.append((tag, node, scope))
+            opened[tag] += 1
+            in_link += tag == "a"
+            if scope:
+                scopes.append((tag, Counter()))
+            else:
+                scopes[-1][1][tag] += 1
         flush()
 
-    def points(self) -> dict[str, float]:
+    def _alive(self) -> list[bool]:
+        n = len(self.parents)
+        if not any(self.flags):
+            return [True] * n
+        own, texts = [0] * n, []
+        for pieces, links in self._pieces:
+            for node, part in pieces:
+                size = len(" ".join(part.split()))
+                own[node] += max(0, size - 2 * min(links, size)) if links else size
+                if size:
+                    texts.append(node)
+        total, mains = own[:], [int(m and not f) for m, f in zip(self.main, self.flags)]
+        for i in range(n - 1, 0, -1):
+            total[self.parents[i]] += total[i]
+            mains[self.parents[i]] += mains[i]
+
+        def spread(kept) -> list[bool]:
+            alive = [True] * n
+            for i in range(1, n):
+                alive[i] = alive[self.parents[i]] and (not self.flags[i] or kept(i))
+            return alive
+
+        def told(alive: list[bool]) -> bool:
+            return any(alive[node] for node in texts)
+
+        alive = spread(lambda i: False)
+        if not any(m and a for m, a in zip(self.main, alive)):
+            alive = spread(lambda i: mains[i] > 0 or self.flags[i] == DOUBTFUL and 2 * total[i] > total[0])
+        if not told(alive):
+            alive = spread(lambda i: self.flags[i] != BY_TAG or mains[i] > 0)
+        return alive if told(alive) else [True] * n
+
+    def spell(self, path: int) -> str:
+        names = []
+        while path >= 0:
+            path, name = self.spelled[path]
+            names.append(name)
+        return ">".join(reversed(names))
+
+    def _number(self, path: str | None) -> int:
+        """The number of a spelled path; -1 if the page has none."""
+        at = -1
+        for name in path.split(">") if path else ():
+            at = self.known.get((at, name), -2)
+            if at < 0:
+                return -1
+        return at
+
+    def points(self) -> list[float]:
         """Points of each path: a block counts whole for its container, half for each one further out.
 
         Containers that are called main text count blocks of any depth whole and get a fifth more.
         """
-        found: dict[str, float] = {}
-        for container, line, links in self.blocks:
-            worth, share, seen = max(0, len(line) - 2 * links), 1.0, set()
-            while container >= 0 and worth:
-                path = self.paths[container]
-                if path not in seen:
-                    seen.add(path)
-                    found[path] = found.get(path, 0.0) + worth * (1.2 if self.good[container] else share)
-                container, share = self.parents[container], share / 2
+        n = len(self.parents)
+        whole, near = [0] * n, [0.0] * n
+        for node, line, links in self.blocks:
+            if self.alive[node]:
+                worth = max(0, len(line) - 2 * links)
+                whole[node] += worth
+                near[node] += worth
+        found = [0.0] * len(self.spelled)
+        for i in range(n - 1, -1, -1):
+            found[self.paths[i]] += 1.2 * whole[i] if self.good[i] else near[i]
+            if i:
+                whole[self.parents[i]] += whole[i]
+                near[self.parents[i]] += near[i] / 2
         return found
 
     def best(self) -> tuple[str, float] | None:
+        """The path with the most points; of equal ones that which sorts first. None without text."""
         found = self.points()
-        return max(found.items(), key=lambda kv: (kv[1], [-ord(c) for c in kv[0]])) if found else None
+        most = max(found)
+        if not most:
+            return None
+        return min(self.spell(i) for i, p in enumerate(found) if p == most), most
 
-    def text(self, path: str | None) -> str:
-        """Blocks inside containers of a path; of the page's own best one if it has none."""
-        inside = [False] * len(self.paths)
-        if path not in self.paths:
-            own = self.best()
-            path = own[0] if own else "html"
+    def _inside(self, path: int) -> str:
+        inside = [False] * len(self.parents)
         for i, p in enumerate(self.paths):
-            inside[i] = p == path or self.parents[i] >= 0 and inside[self.parents[i]]
-        return " ".join([line for container, line, _ in self.blocks if inside[container]])
+            inside[i] = self.alive[i] and (p == path or i > 0 and inside[self.parents[i]])
+        return " ".join([line for node, line, _ in self.blocks if inside[node]])
+
+    def text(self, path: str | None) -> str:
+        """Blocks inside containers of a path; of the page's own best one if it has no text there."""
+        found = self._inside(self._number(path))
+        if found:
+            return found
+        own = self.best()
+        return self._inside(self._number(own[0]) if own else 0)
 
 
 def host_of(url: str):
