@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by Euclidean p-stable hashing (operator 8).
 
-Equal vectors of a label form one class. Every class's unit vector is projected on random normal
+Equal vectors of a label form one class with a number of its own. Every class's unit vector is projected on random normal
 directions, shifted and cut into cells of width ``w``; the cells of ``bits`` projections make a bucket
 of a table. Two unit vectors of cosine ``c`` are ``sqrt(2 - 2c)`` apart, and fall into one cell with a
 known probability, from which the number of tables follows; the defaults find a pair at the threshold
@@ -76,8 +76,8 @@ def _hash_rows(tables: int, bits: int, width: float, seed: int):
                 all_buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32)), pa.array(found.ravel()))
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("class"), part.column("label"), part.column("n"), part.column("v"), pa.array(np.full(n, size)), all_buckets, pa.array(np.full(n, t, np.int32)), pa.array(found[:, t])],
-                        names=["class", "label", "n", "v", "size", "buckets", "table", "bucket"],
+                        [part.column("class"), part.column("label"), part.column("n"), pa.array(np.full(n, size)), all_buckets, pa.array(np.full(n, t, np.int32)), pa.array(found[:, t])],
+                        names=["class", "label", "n", "size", "buckets", "table", "bucket"],
                     )
 
     return run
@@ -165,17 +165,18 @@ def near_duplicates(
     vectors = rows.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).alias("v"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & usable("v")
     vectors = durable(vectors.withColumn("v", F.when(good, F.col("v"))))
+    # A class is a number of its own: an id may stand for several vectors, or under several labels.
     classes = durable(
-        vectors.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
+        vectors.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+        .withColumn("class", F.monotonically_increasing_id())
     )
-    members = classes.select(F.col("label"), F.col("v"), "class", "n")
     total = classes.agg(F.sum("n")).head()[0] or 0
     # The label only keeps classes apart: it travels as a number.
     tagged = classes.select("class", F.xxhash64(F.col("label").cast("string")).alias("label"), "n", "v")
     hashed = durable(
         tagged.mapInArrow(
             _hash_rows(tables, bits, width, seed),
-            f"class long, label long, n long, v {classes.schema['v'].dataType.simpleString()}, size long, buckets array<int>, table int, bucket int",
+            "class long, label long, n long, size long, buckets array<int>, table int, bucket int",
         )
     )
     place = ["table", "label", "size", "bucket"]
@@ -189,6 +190,8 @@ def near_duplicates(
         .withColumn("i", F.least("__own", "__with")).withColumn("j", F.greatest("__own", "__with"))
         .withColumn("side", F.when(F.col("i") == F.col("j"), 0).otherwise(F.when(F.col("__own") == F.col("i"), 1).otherwise(2)))
         .drop("__own", "__with", "__blocks", "__n")
+        # Only members of shared buckets fetch their vector.
+        .join(classes.select("class", "v"), "class")
     )
     group = [*place, "i", "j"]
     linked = durable(
@@ -197,16 +200,16 @@ def near_duplicates(
     sums = linked.groupBy("class").agg(F.sum("linked").alias("linked"))
     roots = components(linked.where("class <> other").select(F.col("class").alias("a"), F.col("other").alias("b")))
     found = (
-        members.join(sums, "class", "left")
+        classes.join(sums, "class", "left")
         .join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        .select(
-            "label", "v", "n",
-            (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("root", "class").alias("component_id"),
-        )
+        .select("label", "v", "n", "least", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "class").alias("root"))
     )
+    found = durable(found)
+    # A component is named after the smallest id of its vectors.
+    names = found.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    found = join_spread(found, names, ["root"], "__n", ["label", "v"], heavy_rows=max(1000, total // 10_000)).drop("__n", "root", "least")
     joined = join_spread(vectors, durable(found), ["label", "v"], "n", ["id"], how="left", heavy_rows=max(1000, total // 10_000))
     return joined.select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("id").cast(rows.schema[key].dataType).alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
     )
