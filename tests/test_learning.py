@@ -1,9 +1,12 @@
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import evaluation, rules
+from tracemill.operators.trie import build_tries
 from tracemill.plans import learn, pipeline
 from tracemill.streaming import detect
 
@@ -111,23 +114,40 @@ def test_pipeline_end_to_end(spark):
     assert grown.count() == learned.dictionary.count() + 1 and coded.count() == 5
 
 
-@pytest.mark.parametrize("block_size", [4, 4096])
-def test_stream_equals_batch(spark, tmp_path, block_size):
-    """Events out of order over several files and runs; verdicts appear once a trace has ended."""
-    r = random.Random(block_size)
+def stream_case(spark, r):
     patterns = spark.createDataFrame(
         [(1, [1, 2, 1, 3]), (2, [2, 2, 3]), (3, [3, 3, 3, 3, 1])], "pattern_id long, gram array<int>"
     )
     conditions = spark.createDataFrame(
-        [("a", 1, 1, ">", 2.5), ("b", 2, 1, "<=", 2.5), ("b", 2, 2, ">", 1.5), ("c", 3, 1, "<=", 2.5), ("c", 3, 2, "<=", 1.5), ("c", 3, 3, ">", 1.5)],
+        [("a", 1, 1, ">", 2.5), ("b", 2, 1, "<=", 2.5), ("b", 2, 2, ">=", 2.0), ("c", 3, 1, "<=", 2.5), ("c", 3, 2, "<", 2.0), ("c", 3, 3, "==", 2.0)],
         "cls string, rule_id long, pattern_id long, op string, value double",
     )
     traces = {t: [r.randint(1, 4) for _ in range(n)] for t, n in enumerate([0, 1, 3, 4, 7, 8, 9, 12, 30, 30, 31, 40])}
+    return patterns, conditions, traces
+
+
+def batch_verdicts(spark, patterns, conditions, traces):
+    from brute import score
+
+    grams = [list(p.gram) for p in patterns.orderBy("pattern_id").collect()]
+    table = [(t, [score(g, s) for g in grams]) for t, s in traces.items()]
+    batch = rules.tree_verdict(spark.createDataFrame(table, "trace_id long, scores array<int>"), conditions)
+    return {x.trace_id: x.verdict for x in batch.collect()}
+
+
+@pytest.mark.parametrize("block_size,part", [(4, 10**6), (4096, 3)])
+def test_stream_equals_batch(spark, tmp_path, block_size, part):
+    """Events out of order and repeated, over several files and runs; verdicts appear once, after the end.
+
+    With parts of three symbols every prefix has an automaton of its own."""
+    r = random.Random(block_size)
+    patterns, conditions, traces = stream_case(spark, r)
     events = [(t, i, s, False) for t, seq in traces.items() for i, s in enumerate(seq)]
     ends = [(t, len(seq), None, True) for t, seq in traces.items() if t != 11]  # trace 11 goes on
     r.shuffle(events)
     feed, folder = str(tmp_path / "feed"), str(tmp_path / "work")
-    detectors = detect.Detectors(conditions, patterns)
+    detectors = detect.Detectors(conditions, patterns, part)
+    assert (len(detectors.parts) > 1) == (part == 3)
 
     def add(rows):
         spark.createDataFrame(rows, detect.EVENTS_SCHEMA).coalesce(2).write.mode("append").parquet(feed)
@@ -135,14 +155,51 @@ def test_stream_equals_batch(spark, tmp_path, block_size):
     add(events[: len(events) // 2] + ends[:6])
     first = detect.run_available(spark, feed, folder, detectors, conditions, block_size)
     early = {x.trace_id for x in first.collect()}
-    add(events[len(events) // 2 :] + ends[6:])
+    add(events[len(events) // 2 :] + ends[6:] + events[:60])
+    detect.run_available(spark, feed, folder, detectors, conditions, block_size)
+    add(r.sample(events, 100) + ends)  # all of it again
     out = detect.run_available(spark, feed, folder, detectors, conditions, block_size).collect()
     got = {x.trace_id: x.verdict for x in out}
-    assert len(out) == len(got) and early < set(got) and set(got) == set(range(11))
+    assert len(out) == len(got) and early < set(got) and all(x.ended for x in out)
+    want = batch_verdicts(spark, patterns, conditions, traces)
+    del want[11]
+    assert got == want and len(set(want.values())) > 1
 
-    from brute import score
 
-    table = [(t, [score(list(p.gram), s) for p in patterns.orderBy("pattern_id").collect()]) for t, s in traces.items()]
-    batch = rules.tree_verdict(spark.createDataFrame(table, "trace_id long, scores array<int>"), conditions)
-    want = {x.trace_id: x.verdict for x in batch.collect() if x.trace_id != 11}
-    assert got == want and len(set(want.values())) > 1
+def test_idle_traces_get_a_verdict(spark, tmp_path):
+    """A trace without an end is judged after a time without events; one that has its verdict keeps it."""
+    r = random.Random(3)
+    patterns, conditions, traces = stream_case(spark, r)
+    feed, folder = str(tmp_path / "feed"), str(tmp_path / "work")
+    detectors = detect.Detectors(conditions, patterns)
+
+    def run(rows):
+        spark.createDataFrame(rows, detect.EVENTS_SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+        return {x.trace_id: (x.verdict, x.ended) for x in detect.run_available(spark, feed, folder, detectors, conditions, 16, idle="1 second").collect()}
+
+    open_ = {t: s for t, s in traces.items() if s and t in (5, 8, 11)}
+    assert run([(t, i, s, False) for t, seq in open_.items() for i, s in enumerate(seq)]) == {}
+    found = {}
+    for i in range(4):  # timers go off with the next batch
+        time.sleep(1.5)
+        found = run([(100 + i, 0, 1, False)])
+    want = batch_verdicts(spark, patterns, conditions, open_)
+    assert {t: found[t] for t in open_} == {t: (v, False) for t, v in want.items()}
+
+
+def test_failure_links_by_definition(spark):
+    r = random.Random(8)
+    patterns = [[r.randint(1, 2) for _ in range(r.randint(1, 7))] for _ in range(12)]
+    rows = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, gram array<int>")
+    (trie,) = build_tries(rows)
+    automaton = detect.Automaton(trie)
+    path = {0: ()}
+    for node in range(1, len(trie)):
+        path[node] = (*path[trie.parent[node]], int(trie.alphabet[trie.symbol[node]]))
+    number = {p: n for n, p in path.items()}
+    for node, p in path.items():
+        assert automaton.fail[node] == next((number[p[i:]] for i in range(1, len(p) + 1) if p[i:] in number), 0)
+    text = [r.randint(1, 3) for _ in range(200)]
+    node, hits = automaton.advance(0, trie.codes(np.array(text)).tolist(), set())
+    found = {g for h in hits for g in automaton.goals(h)}
+    assert found == {i for i, p in enumerate(patterns) if any(text[j : j + len(p)] == p for j in range(len(text)))}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tracemill.operators import longrepeats, repeats, substrings
+from tracemill.operators import longrepeats, repeats, substrings, suffixes
 from tracemill.operators.dictionary import encode
 from tracemill.operators.joins import join_spread
 from tracemill.plans import pipeline
@@ -57,12 +57,14 @@ def test_bounded_against_definition(tokens, seed):
         assert got == brute.profile(traces, g)
 
 
-@pytest.mark.parametrize("seed,heavy", [(1, 10_000_000), (4, 3)])
-def test_any_length_against_definition(spark, tokens, seed, heavy):
-    """The second run treats nearly every name as hot, which salts all joins."""
+@pytest.mark.parametrize("seed,heavy,width", [(1, 10_000_000, 0), (4, 3, 0), (5, 0, 64), (6, 0, 64), (7, 0, 4)])
+def test_any_length_against_definition(spark, tokens, seed, heavy, width):
+    """By doubling (the second run treats nearly every name as hot, which salts all joins), by sorted
+    windows, and by windows that repeats fill."""
     traces = random_traces(seed, alphabet=2 + seed % 2)
     df = tokens(traces)
-    found = longrepeats.long_repeats(df, heavy_rows=heavy).collect()
+    found = (longrepeats.long_repeats(df, width=width) if width else longrepeats.doubling_repeats(df, heavy_rows=heavy)).collect()
+    assert ("gram" in found[0]) == (width == 64)
     for g in (0, 1):
         want = {}
         for w, (n, _, _, wit) in brute.profile(traces, g).items():
@@ -78,6 +80,19 @@ def test_any_length_against_definition(spark, tokens, seed, heavy):
         assert got == want
 
 
+def test_runs_over_many_partitions(spark, tokens, monkeypatch):
+    """Equal windows in more partitions than one, three bytes a symbol, and one group with next to nothing."""
+    monkeypatch.setattr(suffixes, "PARTITION_ROWS", 7)
+    big = 70_000
+    traces = {(0, t): [big, 1, 2] * 5 + [t + 5] for t in range(8)} | {(0, 90): [3] * 12, (0, 91): [3] * 12, (1, 200): [4, 4]}
+    df = tokens(traces)
+    found = longrepeats.long_repeats(df).collect()
+    for g in (0, 1):
+        want = {w: (n, wit) for w, (n, _, _, wit) in brute.profile(traces, g).items() if wit}
+        assert {tuple(r.gram): (r.n_occ, r.n_witness) for r in found if r.grp == g} == want
+    assert all(tuple(traces[(r.grp, r.trace_id)][r.pos : r.pos + r.len]) == tuple(r.gram) for r in found)
+
+
 def test_any_length_without_repeats(tokens):
     assert longrepeats.long_repeats(tokens({(0, 0): [1, 2, 3]})).count() == 0
 

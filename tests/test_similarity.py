@@ -1,10 +1,12 @@
+import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tracemill.operators import rules, similarity, substrings
+from tracemill.operators import rules, similarity, substrings, trie
 from tracemill.operators.automata import prefix_automaton
 
 
@@ -22,14 +24,16 @@ def test_score_golden(spark, tokens):
     assert rows == {0: [3], 1: [2], 2: [0], 3: [0]}
 
 
-@pytest.mark.parametrize("anchor", [1, 2, 4])
-def test_score_against_definition(spark, tokens, anchor):
-    r = random.Random(anchor)
+@pytest.mark.parametrize("seed,part", [(1, 10**6), (2, 20), (4, 1)])
+def test_score_against_definition(spark, tokens, monkeypatch, seed, part):
+    """Small parts deal the patterns to several tries."""
+    monkeypatch.setattr(trie, "share_tries", functools.partial(trie.share_tries, part_symbols=part))
+    r = random.Random(seed)
     traces = {(0, t): [r.randint(1, 3) for _ in range(r.randint(1, 30))] for t in range(12)}
     patterns = [[r.randint(1, 3) for _ in range(r.randint(1, 8))] for _ in range(15)]
     got = {
         (x.trace_id, x.pattern_id): x.score
-        for x in similarity.prefix_similarity(pattern_rows(spark, patterns), tokens(traces), anchor).collect()
+        for x in similarity.prefix_similarity(pattern_rows(spark, patterns), tokens(traces)).collect()
     }
     want = {
         (t, i + 1): brute.score(p, s) for (_, t), s in traces.items() for i, p in enumerate(patterns) if brute.score(p, s)
@@ -37,6 +41,46 @@ def test_score_against_definition(spark, tokens, anchor):
     assert got == want
 
 
+@pytest.mark.parametrize("part", [10**6, 15])
+def test_match_lengths_against_definition(spark, tokens, monkeypatch, part):
+    monkeypatch.setattr(trie, "share_tries", functools.partial(trie.share_tries, part_symbols=part))
+    r = random.Random(part)
+    traces = {(0, t): [r.randint(1, 3) for _ in range(r.randint(1, 30))] for t in range(6)}
+    patterns = [[r.randint(1, 3) for _ in range(r.randint(1, 6))] for _ in range(12)] + [[9, 9], [1], [1], [1, 2]]
+    df, rows = tokens(traces), pattern_rows(spark, patterns)
+    want = {}
+    for (_, t), s in traces.items():
+        for p in range(len(s)):
+            for i, w in enumerate(patterns):
+                k = next((k for k in range(len(w), 0, -1) if s[p : p + k] == w[:k]), 0)
+                if k:
+                    want[(t, p, i + 1)] = k
+    got = [((x.trace_id, x.pos, x.pattern_id), x.match_len) for x in similarity.match_lengths(rows, df).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    whole = {(x.trace_id, x.pos, x.pattern_id) for x in similarity.match_lengths(rows, df, whole=True).collect()}
+    assert whole == {k for k, n in want.items() if n == len(patterns[k[2] - 1])}
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 20])
+def test_trie_nodes_are_the_distinct_prefixes(spark, monkeypatch, cells):
+    monkeypatch.setattr(trie, "DENSE_CELLS", cells)
+    patterns = [[5, 6], [5, 6, 7], [5, 7], [8], [5, 6]]
+    nodes = trie.trie_table(pattern_rows(spark, patterns)).collect()
+    prefixes = {tuple(p[:k]) for p in patterns for k in range(1, len(p) + 1)}
+    assert len(nodes) == len(prefixes) and sum(n.n_patterns for n in nodes) == len(patterns)
+    (one,) = trie.build_tries(pattern_rows(spark, patterns))
+    assert one.deepest(one.codes(np.array([5, 6, 1, 5, 7, 8])), np.array([0, 1, 3, 5])).tolist() == [
+        next(n.node for n in nodes if n.depth == 2 and n.sym_id == 6), 0, next(n.node for n in nodes if n.depth == 2 and n.sym_id == 7),
+        next(n.node for n in nodes if n.depth == 1 and n.sym_id == 8),
+    ]
+
+
+def test_no_patterns_no_traces(spark, tokens):
+    none = pattern_rows(spark, [[1]]).limit(0)
+    assert similarity.prefix_similarity(none, tokens({(0, 0): [1, 2]})).count() == 0
+    assert similarity.prefix_similarity(pattern_rows(spark, [[1]]), tokens({(0, 0): [1]}).limit(0)).count() == 0
+
+
 def test_patterns_longer_than_a_block(spark, tokens):
     r = random.Random(9)
     s = [r.randint(1, 5) for _ in range(4000)]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.blocks import as_text
 from tracemill.operators.joins import HEAVY_ROWS, join_spread
+from tracemill.operators.suffixes import WIDTH, window_matches, window_repeats
 from tracemill.session import durable
 
 
@@ -84,7 +85,18 @@ def _longest_matches(places: DataFrame, levels: list[DataFrame], heavy_rows: int
     return durable(state.where("NOT stand_in").drop("stand_in"))
 
 
-def long_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+def long_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS, width: int = WIDTH) -> DataFrame:
+    """All repeats with a witness, of any length; see ``doubling_repeats`` for the columns.
+
+    Where all repeats are shorter than ``width`` symbols, the sorted windows of the positions give them
+    at once, with a further column ``gram``; otherwise they are found by doubling. The rows are the same.
+    """
+    tokens = durable(tokens.select("grp", "trace_id", "pos", "sym_id"))
+    found = window_repeats(tokens, width)
+    return doubling_repeats(tokens, heavy_rows) if found is None else found
+
+
+def doubling_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """All repeats with a witness, of any length.
 
     Returns ``(grp, len, trace_id, pos, n_occ, n_traces, n_witness, percent)``; a repeat is given by
@@ -160,7 +172,9 @@ def spell(repeats: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def spelled(repeats: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Adds ``gram`` (the symbols, one array as long as the repeat) and ``pattern``."""
+    """Adds ``gram`` (the symbols, one array as long as the repeat), if it is not there, and ``pattern``."""
+    if "gram" in repeats.columns:
+        return repeats.withColumn("pattern", as_text("gram"))
     keys = ["grp", "len", "trace_id", "pos"]
     letters = F.sort_array(F.collect_list(F.struct("k", "sym_id")))
     words = spell(repeats, tokens).groupBy(*keys).agg(letters.alias("__s"))
@@ -184,6 +198,10 @@ def supermaximal_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS, min_tr
 
 def longest_repeated(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> int:
     """Length of the longest repeat of any group; 0 if nothing repeats."""
+    tokens = durable(tokens.select("grp", "trace_id", "pos", "sym_id"))
+    found = window_matches(tokens)
+    if found is not None:
+        return found[0].agg(F.max("len")).head()[0] or 0
     places = durable(tokens.select("grp", "trace_id", "pos", "sym_id", F.monotonically_increasing_id().alias("gid")))
     levels = _name_levels(places, heavy_rows)
     if not levels:

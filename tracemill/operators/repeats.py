@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.operators.blocks import BLOCK_SIZE, as_text, grams, own_positions, to_blocks
-from tracemill.operators.joins import join_spread
+from tracemill.operators.blocks import BLOCK_SIZE, as_text, grams, to_blocks
 from tracemill.operators.longrepeats import longest_repeated
 from tracemill.operators.ordering import rank_all
+from tracemill.operators.trie import position_matches, share_tries, trie_blocks
 from tracemill.session import durable
 
 
@@ -177,19 +177,13 @@ def maximal_repeats(profile: DataFrame) -> DataFrame:
 def occurrences(tokens: DataFrame, repeats: DataFrame) -> DataFrame:
     """Start positions of each repeat, of any length: ``(grp, gram, trace_id, pos)``.
 
-    Only the lengths that repeats have are cut out of the blocks.
+    The repeats of all groups are one trie, which every position goes down once; a match counts in the
+    repeat's own group.
     """
-    wanted = durable(repeats.select("grp", "gram", "n_occ", F.size("gram").alias("len")))
-    by_group = wanted.groupBy("grp").agg(F.collect_set("len").alias("__lens"), F.max("len").alias("__most"))
-    longest = by_group.agg(F.max("__most")).head()[0] or 1
-    places = (
-        own_positions(gram_blocks(tokens, 0, longest))
-        .join(by_group.select("grp", "__lens"), "grp")
-        .withColumn("len", F.explode("__lens"))
-        .where(F.size("syms") - F.col("at") + 1 >= F.col("len"))
-        .select("grp", "trace_id", "pos", F.slice("syms", F.col("at"), F.col("len")).alias("gram"))
-    )
-    return join_spread(places, wanted.drop("len"), ["grp", "gram"], "n_occ", ["trace_id", "pos"]).drop("n_occ")
+    wanted = durable(rank_all(repeats.select("grp", "gram"), ["grp", "gram"], "pattern_id"))
+    tries = share_tries(wanted)
+    found = position_matches(tries, trie_blocks(tries, tokens), whole=True).select("grp", "trace_id", "pos", "pattern_id")
+    return found.join(wanted, ["grp", "pattern_id"]).select("grp", "gram", "trace_id", "pos")
 
 
 def pattern_catalog(repeats: DataFrame) -> DataFrame:

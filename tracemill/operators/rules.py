@@ -38,6 +38,19 @@ def with_prefixes(conditions: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
+def detector_lengths(conditions: DataFrame) -> DataFrame:
+    """Prefixes whose presence decides the conditions: distinct ``(pattern_id, k)``.
+
+    ``>`` and ``<=`` ask for ``floor(value) + 1`` symbols, ``>=`` and ``<`` for ``ceil(value)``, ``==`` for the
+    value and one more. Lengths below 1 are always there and need no detector.
+    """
+    value, op = F.col("value"), F.col("op")
+    more, least = F.floor(value) + 1, F.ceil(value)
+    lengths = F.when(op.isin(">", "<="), F.array(more)).when(op.isin(">=", "<"), F.array(least)).otherwise(F.array(least, more))
+    found = conditions.where("pattern_id IS NOT NULL").select("pattern_id", F.explode(lengths.cast("array<int>")).alias("k"))
+    return found.where("k >= 1").distinct()
+
+
 def above(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Scores above the pattern's threshold: the pattern prefix of length ``k`` is present."""
     return scores.join(thresholds, "pattern_id").where(F.col("score") > F.col("value"))
@@ -62,8 +75,13 @@ def rules_literal(conditions: DataFrame) -> Column:
 
 
 def holding_rules(rows: DataFrame, conditions: DataFrame) -> DataFrame:
-    """Adds ``holds``: the ``(cls, rule_id)`` of the rules that hold for ``scores``."""
+    """Adds ``holds``: the ``(cls, rule_id)`` of the rules that hold for ``scores``.
+
+    ``scores`` has one number per pattern, or, beside ``pattern_ids``, those of the patterns listed there.
+    """
     score = "coalesce(get(scores, CAST(c.pattern_id - 1 AS INT)), 0)"
+    if "pattern_ids" in rows.columns:
+        score = "coalesce(get(scores, CAST(array_position(pattern_ids, c.pattern_id) AS INT) - 1), 0)"
     test = (
         f"CASE c.op WHEN '>' THEN {score} > c.value WHEN '<=' THEN {score} <= c.value "
         f"WHEN '>=' THEN {score} >= c.value WHEN '<' THEN {score} < c.value ELSE {score} = c.value END"

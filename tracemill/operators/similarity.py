@@ -1,149 +1,104 @@
 """Prefix similarity: how far does a pattern match from its start inside a trace?
 
-Positions are joined to patterns on a short *anchor*, the first few symbols, and only
-the joined pairs are compared symbol by symbol. Matches shorter than the anchor are
-found from the short n-grams of each trace. No trace meets a pattern it shares nothing with.
+Patterns are one trie (``tracemill.operators.trie``); positions go down as far as their symbols lead. The
+deepest nodes of a trace, each once, tell the score of every pattern: the depth at which its path leaves
+theirs. Scores travel as sparse rows, one per trace; a row per trace and pattern, or a dense array, is
+made only where it is asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracemill.operators.blocks import BLOCK_SIZE, grams, own_positions, to_blocks
-from tracemill.session import durable, small_side
+from tracemill.operators import trie
 
-ANCHOR = 4
 
+def match_lengths(patterns: DataFrame, tokens: DataFrame, value: str = "sym_id", whole: bool = False) -> DataFrame:
+    """How far each pattern matches from each position, ``(grp, trace_id, pos, pattern_id, match_len)``, from 1 on.
 
-def common_prefix(a: str, b: str) -> Column:
-    """Number of leading equal elements of two arrays."""
-    return F.expr(
-        f"CASE array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false) WHEN 0 THEN size({b}) "
-        f"ELSE CAST(array_position(zip_with({a}, {b}, (x, y) -> x <=> y), false) - 1 AS INT) END"
-    )
-
-
-def longest_pattern(patterns: DataFrame) -> int:
-    """Length of the longest pattern (0 without patterns)."""
-    return patterns.agg(F.coalesce(F.max(F.size("gram")), F.lit(0))).first()[0]
+    ``whole`` keeps the matches of whole patterns only. The result has a row per position and pattern that
+    start alike; ``score_rows`` has the best per trace without them.
+    """
+    tries = trie.share_tries(patterns)
+    return trie.position_matches(tries, trie.trie_blocks(tries, tokens, value), whole)
 
 
-def choose_anchor(patterns: DataFrame, most: int = 64) -> int:
-    """The shortest anchor of 4, 8 or 16 symbols that at most ``most`` patterns share.
+def score_rows(patterns: DataFrame, tokens: DataFrame, value: str = "sym_id") -> DataFrame:
+    """Sparse rows ``(grp, trace_id, pattern_ids, scores)``: the longest start of each pattern in each trace.
 
-    Bounds the patterns a position is compared with; 16 if even those share their starts.
+    Patterns of score 0 are not listed; ids ascend. A trace without any match has no row.
     """
-    for anchor in (ANCHOR, 2 * ANCHOR):
-        shared = patterns.groupBy(F.slice("gram", F.lit(1), F.lit(anchor))).agg(F.count(F.lit(1)).alias("n"))
-        if (shared.agg(F.max("n")).first()[0] or 0) <= most:
-            return anchor
-    return 4 * ANCHOR
+    tries = trie.share_tries(patterns)
+    found = trie.trace_scores(tries, trie.trie_blocks(tries, tokens, value))
+    if len(tries.parts) == 1:
+        return found.drop("part")
+    both = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("pattern_ids", "scores"))))
+    joined = found.groupBy("grp", "trace_id").agg(both.alias("__both"))
+    return joined.select("grp", "trace_id", F.col("__both.pattern_ids").alias("pattern_ids"), F.col("__both.scores").alias("scores"))
 
 
-def pattern_blocks(patterns: DataFrame, tokens: DataFrame, anchor: int = ANCHOR, value: str = "sym_id") -> DataFrame:
-    """Blocks whose margin covers the longest pattern."""
-    longest = max(longest_pattern(patterns), anchor)
-    return to_blocks(tokens, value, before=0, after=longest, size=max(BLOCK_SIZE, 2 * longest))
+def long_scores(rows: DataFrame) -> DataFrame:
+    """Sparse rows as ``(grp, trace_id, pattern_id, score)``."""
+    return rows.select("grp", "trace_id", F.inline(F.arrays_zip(F.col("pattern_ids").alias("pattern_id"), F.col("scores").alias("score"))))
 
 
-def match_lengths(patterns: DataFrame, blocks: DataFrame, anchor: int = ANCHOR, whole: bool = False) -> DataFrame:
-    """Match length of every pattern at every position where its anchor occurs.
+def prefix_similarity(patterns: DataFrame, tokens: DataFrame, value: str = "sym_id") -> DataFrame:
+    """Longest pattern prefix occurring in each trace: ``(grp, trace_id, pattern_id, score)``, scores from 1 on."""
+    return long_scores(score_rows(patterns, tokens, value))
 
-    ``blocks`` come from ``pattern_blocks``. Returns ``(grp, trace_id, pos, pattern_id, match_len)``.
-    The anchor of a pattern is its first ``anchor`` symbols, or all of them if it is shorter.
-    ``whole`` keeps full matches only.
-    """
-    stored = durable(
-        patterns.where(F.size("gram") > 0).select(
-            "pattern_id",
-            F.col("gram").alias("wanted"),
-            F.slice("gram", F.lit(1), F.lit(anchor)).alias("anchor"),
-        )
-    )
-    # Between 1 and ``anchor`` distinct numbers.
-    lengths = sorted(r[0] for r in stored.select(F.size("anchor")).distinct().collect()) or [anchor]
-    longest = max(longest_pattern(patterns), anchor)
-    places = (
-        own_positions(blocks)
-        .withColumn("__len", F.explode(F.array(*[F.lit(n) for n in lengths])))
-        .where(F.size("syms") - F.col("at") + 1 >= F.col("__len"))
-        .select(
-            "grp",
-            "trace_id",
-            "pos",
-            F.slice("syms", F.col("at"), F.col("__len")).alias("anchor"),
-            F.slice("syms", F.col("at"), F.lit(longest)).alias("ahead"),
-        )
-    )
-    pairs = places.join(small_side(stored), "anchor")
-    found = pairs.withColumn("match_len", common_prefix("ahead", "wanted"))
-    if whole:
-        found = found.where(F.col("match_len") == F.size("wanted"))
-    return found.select("grp", "trace_id", "pos", "pattern_id", "match_len")
 
+def best_anywhere(patterns: DataFrame, tokens: DataFrame, value: str = "sym_id") -> DataFrame:
+    """Longest prefix of each pattern in any trace: ``(pattern_id, score)``, scores from 1 on."""
+    tries = trie.share_tries(patterns)
+    nodes = trie.trace_nodes(tries, trie.trie_blocks(tries, tokens, value)).select("part", "node").distinct()
+    parts = tries.parts
 
-def short_matches(patterns: DataFrame, blocks: DataFrame, anchor: int = ANCHOR) -> DataFrame:
-    """Best match up to the anchor length: ``(grp, trace_id, pattern_id, match_len)``.
+    def best(rows: pa.Table) -> pa.Table:
+        one = parts[rows["part"][0].as_py()].value
+        depth = one.best_depths(rows["node"].to_numpy())
+        some = np.flatnonzero(depth)
+        return pa.table({"pattern_id": one.ids[some], "score": depth[some]})
 
-    Patterns with the same anchor are scored once. The n-grams meet the prefixes before they are
-    counted: with few patterns this is a map-side lookup that leaves little to shuffle.
-    """
-    stored = durable(
-        patterns.where(F.size("gram") > 0).select(
-            "pattern_id", F.slice("gram", F.lit(1), F.lit(anchor)).alias("anchor")
-        )
-    )
-    prefixes = (
-        stored.select("anchor")
-        .distinct()
-        .withColumn("match_len", F.explode(F.sequence(F.lit(1), F.size("anchor"))))
-        .withColumn("gram", F.slice("anchor", F.lit(1), F.col("match_len")))
-    )
-    known = durable(prefixes.groupBy("gram", "match_len").agg(F.count(F.lit(1)).alias("__n")).drop("__n"))
-    present = (
-        grams(blocks, 1, anchor)
-        .select("grp", "trace_id", "gram")
-        .join(small_side(known), "gram")
-        .groupBy("grp", "trace_id", "gram")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    scored = (
-        present.join(small_side(durable(prefixes)), "gram")
-        .groupBy("grp", "trace_id", "anchor")
-        .agg(F.max("match_len").alias("match_len"))
-    )
-    return scored.join(small_side(stored), "anchor").select("grp", "trace_id", "pattern_id", "match_len")
+    # A part has no more rows than its trie has nodes.
+    return nodes.groupBy("part").applyInArrow(best, "pattern_id long, score int")
 
 
-def prefix_similarity(
-    patterns: DataFrame, tokens: DataFrame, anchor: int | None = None, value: str = "sym_id"
-) -> DataFrame:
-    """Longest pattern prefix occurring in each trace: ``(grp, trace_id, pattern_id, score)``.
+def dense_rows(traces: DataFrame, rows: DataFrame, n_patterns: int) -> DataFrame:
+    """Adds ``scores``, one number per pattern 1..n and 0 where nothing matched, from sparse rows."""
+    some = rows.select("trace_id", F.col("pattern_ids").alias("__ids"), F.col("scores").alias("__scores"))
+    joined = traces.drop("scores").join(some, "trace_id", "left")
+    names = [c for c in joined.columns if not c.startswith("__")]
+    schema = T.StructType([joined.schema[c] for c in names] + [T.StructField("scores", T.ArrayType(T.IntegerType()))])
 
-    Pairs that share nothing (score 0) are not listed. Both searches read the same blocks, so
-    the tokens are shuffled once.
-    """
-    anchor = anchor or choose_anchor(patterns)
-    blocks = pattern_blocks(patterns, tokens, anchor, value)
-    long = (
-        match_lengths(patterns, blocks, anchor)
-        .groupBy("grp", "trace_id", "pattern_id")
-        .agg(F.max("match_len").alias("match_len"))
-    )
-    return (
-        long.unionByName(short_matches(patterns, blocks, anchor))
-        .groupBy("grp", "trace_id", "pattern_id")
-        .agg(F.max("match_len").alias("score"))
-    )
+    def fill(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = np.zeros((part.num_rows, n_patterns), np.int32)
+                ids = part.column("__ids")
+                sizes = np.array([len(x) if x.is_valid else 0 for x in ids], np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                out[row, ids.flatten().to_numpy(zero_copy_only=False) - 1] = part.column("__scores").flatten().to_numpy(zero_copy_only=False)
+                offsets = np.arange(part.num_rows + 1, dtype=np.int32) * n_patterns
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in names] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))], names=[*names, "scores"]
+                )
+
+    return joined.mapInArrow(fill, schema)
 
 
 def feature_rows(traces: DataFrame, scores: DataFrame, n_patterns: int) -> DataFrame:
     """Adds ``scores``: one number per pattern 1..n, 0 where nothing matched, also for empty traces.
 
-    A trace's list holds at most one entry per pattern; the zeros between entries are filled in
+    ``scores`` are sparse rows, or rows ``(trace_id, pattern_id, score)``. A trace's list holds at most one entry per pattern; the zeros between entries are filled in
     place, so the trace x pattern table is never joined or shuffled.
     """
+    if "pattern_ids" in scores.columns:
+        return dense_rows(traces, scores, n_patterns)
     entries = F.sort_array(F.collect_list(F.struct("pattern_id", "score")))
     sparse = scores.groupBy("trace_id").agg(entries.alias("__e"))
     filled = F.expr(
@@ -169,5 +124,7 @@ def feature_rows(traces: DataFrame, scores: DataFrame, n_patterns: int) -> DataF
 
 
 def feature_maxima(scores: DataFrame) -> DataFrame:
-    """Largest score per pattern."""
+    """Largest score per pattern, from sparse rows or ``(trace_id, pattern_id, score)``."""
+    if "pattern_ids" in scores.columns:
+        scores = long_scores(scores)
     return scores.groupBy("pattern_id").agg(F.max("score").alias("max_score"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracemill.operators.blocks import grams, to_blocks
 from tracemill.operators.ordering import running_total
 from tracemill.operators.ranges import latest_start
-from tracemill.operators.similarity import choose_anchor, match_lengths, pattern_blocks, short_matches
+from tracemill.operators.similarity import best_anywhere
 
 
 def trace_lengths(tokens: DataFrame) -> DataFrame:
@@ -52,11 +52,7 @@ def substring_lookup(queries: DataFrame, tokens: DataFrame, value: str = "sym_id
 
     ``queries`` has ``(pattern_id, gram)``; a query without any match gets 0.
     """
-    anchor = choose_anchor(queries)
-    blocks = pattern_blocks(queries, tokens, anchor, value)
-    long = match_lengths(queries, blocks, anchor).select("pattern_id", "match_len")
-    short = short_matches(queries, blocks, anchor).select("pattern_id", "match_len")
-    best = long.unionByName(short).groupBy("pattern_id").agg(F.max("match_len").alias("match_len"))
+    best = best_anywhere(queries, tokens, value)
     return queries.join(best, "pattern_id", "left").select(
-        "pattern_id", F.coalesce("match_len", F.lit(0)).alias("found_len")
+        "pattern_id", F.coalesce("score", F.lit(0)).alias("found_len")
     )

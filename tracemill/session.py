@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a URI, for single files that workers read; a plain path is local."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), uri
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a *stored* table for broadcast when it has at most ``limit`` rows.
 

@@ -6,11 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import evaluation, rules, similarity, substrings
+from tracemill.operators import evaluation, rules, similarity, substrings, trees
 from tracemill.operators.automata import prefix_automaton
 from tracemill.operators.blocks import as_text
-from tracemill.operators.sampling import stratified_split
-from tracemill.plans import learn
+from tracemill.operators.sampling import stratified_folds, stratified_split
 from tracemill.session import durable, shared_folder
 from tracemill.sources.rules_text import parse_rules
 from tracemill.streaming import detect
@@ -23,6 +22,7 @@ from tracemill.workload.tables import (
     feature_patterns,
     load,
 )
+from tracemill.workload.tree_sql import FOLDED, FOLDS, HOLDS, LABELLED_SQL, RULES, TRAINED, tree_sql, walked
 
 
 def events_and_patterns(spark, d):
@@ -40,26 +40,45 @@ def event_traces(coded):
     )
 
 
-def event_features(spark, d):
+def sparse_rows(traces, coded, patterns):
+    """Sparse score rows of all traces, those without any match too."""
+    found = similarity.score_rows(patterns, coded).drop("grp")
+    nothing = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+    return traces.join(found, "trace_id", "left").select(*traces.columns, nothing("pattern_ids", "array<bigint>"), nothing("scores", "array<int>"))
+
+
+def event_scores(spark, d):
+    """Sparse score rows of the events' traces, the patterns and the events."""
     coded, patterns = events_and_patterns(spark, d)
-    n = patterns.count()
-    scores = similarity.prefix_similarity(patterns, coded)
-    return similarity.feature_rows(event_traces(coded), scores, n), patterns, coded
+    return sparse_rows(event_traces(coded), coded, patterns), patterns, coded
+
+
+def halves(rows):
+    """Stored score rows with a train/test split within each class."""
+    grouped = rows.withColumn("grp", F.col("label"))
+    return durable(stratified_split(grouped, "trace_id").drop("grp"))
+
+
+def event_rules(spark, d):
+    """Score rows, patterns, events and the fitted rules: a tree of six levels of the training half."""
+    rows, patterns, coded = event_scores(spark, d)
+    rows = halves(rows)
+    nodes = trees.fit_trees(rows.where("split = 'train'"), TREE_DEPTH)
+    return rows, patterns, coded, durable(trees.tree_conditions(nodes))
 
 
 @query(
     "match_lengths",
     PATTERNS_SQL
     + """SELECT p.pattern_id, occ.trace_id, occ.pos, max(k) AS match_len
-FROM (SELECT pattern_id, w, unnest(range(least(4, len(w)), len(w) + 1)) AS k FROM patterns) p
+FROM (SELECT pattern_id, w, unnest(range(1, len(w) + 1)) AS k FROM patterns) p
 JOIN (SELECT trace_id, pos, len(w) AS l, array_to_string(w, ' ') AS t FROM occ WHERE len(w) <= (SELECT max(len(w)) FROM patterns)) occ
   ON occ.l = k AND occ.t = array_to_string(p.w[1:k], ' ') GROUP BY ALL""",
 )
 def match_lengths(spark, d):
-    """At each position, how far each pattern matches from there; matches of four symbols or of the whole pattern."""
+    """At each position, how far each pattern matches from there, from one symbol on."""
     coded, patterns = events_and_patterns(spark, d)
-    blocks = similarity.pattern_blocks(patterns, coded)
-    return similarity.match_lengths(patterns, blocks).select("pattern_id", "trace_id", "pos", "match_len")
+    return similarity.match_lengths(patterns, coded).select("pattern_id", "trace_id", "pos", "match_len")
 
 
 @query("prefix_similarity", SCORES_SQL + "SELECT trace_id, pattern_id, score FROM scores")
@@ -78,14 +97,15 @@ LEFT JOIN scores s ON s.trace_id = seq.trace_id AND s.pattern_id = p.pattern_id
 GROUP BY seq.trace_id, seq.grp""",
 )
 def feature_matrix(spark, d):
-    rows, _, _ = event_features(spark, d)
+    coded, patterns = events_and_patterns(spark, d)
+    rows = similarity.feature_rows(event_traces(coded), similarity.score_rows(patterns, coded), patterns.count())
     return rows.select("trace_id", "label", as_text("scores").alias("scores"))
 
 
 @query("feature_maxima", SCORES_SQL + "SELECT pattern_id, max(score) AS max_score FROM scores GROUP BY pattern_id")
 def feature_maxima(spark, d):
     coded, patterns = events_and_patterns(spark, d)
-    return similarity.feature_maxima(similarity.prefix_similarity(patterns, coded))
+    return similarity.feature_maxima(similarity.score_rows(patterns, coded))
 
 
 @query(
@@ -113,7 +133,7 @@ def prefix_detect(spark, d):
     coded, patterns = events_and_patterns(spark, d)
     prefixes = patterns.select("pattern_id", F.slice("gram", F.lit(1), F.col("len") - 1).alias("gram"))
     return (
-        similarity.match_lengths(prefixes, similarity.pattern_blocks(prefixes, coded), whole=True)
+        similarity.match_lengths(prefixes, coded, whole=True)
         .groupBy("trace_id", "pattern_id")
         .agg(F.count(F.lit(1)).alias("n_hits"), F.min("pos").alias("first_pos"))
     )
@@ -182,81 +202,56 @@ def class_flags(spark, d):
     return found.select("cls", "n_rules", "n_flags", as_text("flags").alias("flags"))
 
 
-# A small rule set; the last class has two rules.
-CONDITIONS = [
-    ("amber", 1, 1, ">", 7.5),
-    ("upx", 2, 1, "<=", 7.5),
-    ("upx", 2, 2, ">", 5.5),
-    ("mew", 3, 1, "<=", 7.5),
-    ("mew", 3, 2, "<=", 5.5),
-    ("mew", 3, 3, ">", 4.5),
-    ("mew", 4, 1, "<=", 7.5),
-    ("mew", 4, 2, "<=", 5.5),
-    ("mew", 4, 3, "<=", 4.5),
-    ("mew", 4, 1, ">", 4.5),
-]
-
-_CONDITIONS_SQL = ", conditions(cls, rule_id, pattern_id, op, value) AS (VALUES " + ", ".join(
-    f"('{c}', {r}, {p}, '{o}', {v})" for c, r, p, o, v in CONDITIONS
-) + ")"
-
-_HOLDS_SQL = (
-    SCORES_SQL.rstrip()
-    + _CONDITIONS_SQL
-    + """, holds AS (
-  SELECT seq.trace_id, seq.grp, c.cls, c.rule_id
-  FROM seq CROSS JOIN conditions c
-  LEFT JOIN scores s ON s.trace_id = seq.trace_id AND s.pattern_id = c.pattern_id
-  GROUP BY ALL
-  HAVING bool_and(CASE WHEN c.op = '>' THEN coalesce(s.score, 0) > c.value ELSE coalesce(s.score, 0) <= c.value END))
-"""
-)
-
+TREE_DEPTH = 6
 
-def small_rules(spark):
-    return spark.createDataFrame(CONDITIONS, "cls string, rule_id long, pattern_id long, op string, value double")
+_FITTED_SQL = LABELLED_SQL + TRAINED + tree_sql(TREE_DEPTH) + RULES
 
 
-@query("rule_eval", _HOLDS_SQL + "SELECT trace_id, cls, count(*) AS n_rules FROM holds GROUP BY ALL")
+@query("rule_eval", _FITTED_SQL + HOLDS + " SELECT trace_id, cls, count(*) AS n_rules FROM holds GROUP BY ALL")
 def rule_eval(spark, d):
-    rows, _, _ = event_features(spark, d)
-    return rules.class_verdicts(rows, small_rules(spark))
+    """Classes whose rules hold, by the rules of a fitted tree."""
+    rows, _, _, conditions = event_rules(spark, d)
+    return rules.class_verdicts(rows, conditions)
 
 
 _VERDICT_SQL = (
-    _HOLDS_SQL
-    + """SELECT seq.trace_id, coalesce(arg_min(h.cls, h.rule_id), 'unpacked') AS verdict
-FROM seq LEFT JOIN holds h ON h.trace_id = seq.trace_id GROUP BY seq.trace_id"""
+    _FITTED_SQL
+    + HOLDS
+    + """ SELECT seq.trace_id, coalesce(h.cls, 'unpacked') AS verdict FROM seq LEFT JOIN holds h ON h.trace_id = seq.trace_id"""
 )
 
 
 @query("tree_as_rules", _VERDICT_SQL)
 def tree_as_rules(spark, d):
-    rows, _, _ = event_features(spark, d)
-    return rules.tree_verdict(rows, small_rules(spark)).select("trace_id", "verdict")
+    """Verdicts of all traces by the rules of a fitted tree."""
+    rows, _, _, conditions = event_rules(spark, d)
+    return rules.tree_verdict(rows, conditions).select("trace_id", "verdict")
 
 
-@query("stream_detect", _VERDICT_SQL)
-def stream_detect(spark, d):
-    """The same verdicts from a stream: the events arrive in several files, the ends last."""
-    coded, patterns = events_and_patterns(spark, d)
-    lengths = substrings.trace_lengths(coded)
+def event_feed(coded, folder):
+    """Writes events and ends as the files of a stream."""
     calls = coded.select("trace_id", "pos", "sym_id", F.lit(False).alias("is_end"))
+    lengths = substrings.trace_lengths(coded)
     ends = lengths.select("trace_id", F.col("n").alias("pos"), F.lit(None).cast("int").alias("sym_id"), F.lit(True).alias("is_end"))
+    calls.unionByName(ends).write.parquet(folder)
+    return folder
+
+
+@query("stream_detect", _VERDICT_SQL)
+def stream_detect(spark, d):
+    """The same verdicts from a stream of the events."""
+    _, patterns, coded, conditions = event_rules(spark, d)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    calls.unionByName(ends).write.parquet(f"{folder}/feed")
-    conditions = small_rules(spark)
     detectors = detect.Detectors(conditions, patterns)
-    return detect.run_available(spark, f"{folder}/feed", folder, detectors, conditions)
+    said = detect.run_available(spark, event_feed(coded, f"{folder}/feed"), folder, detectors, conditions)
+    return said.select("trace_id", "verdict")
 
 
 @query(
     "rule_detectors",
-    PATTERNS_SQL.rstrip()
-    + _CONDITIONS_SQL
+    _FITTED_SQL
     + """, prefixes AS (
-  SELECT DISTINCT c.cls, c.rule_id, c.pattern_id, floor(c.value)::BIGINT + 1 AS k, p.w[1:floor(c.value)::BIGINT + 1] AS w
-  FROM conditions c JOIN patterns p USING (pattern_id)),
+  SELECT DISTINCT c.cls, c.rule_id, c.pattern_id, c.k, p.w[1:c.k] AS w FROM conditions c JOIN patterns p USING (pattern_id)),
 steps AS (
   SELECT cls, rule_id, pattern_id, k, w, q, c FROM prefixes, range(0, len(w)) AS t(q), (SELECT sym_id AS c FROM dict) a
   WHERE len(w) = k AND q < len(w) AND list_contains(w, c))
@@ -266,8 +261,9 @@ WHERE j <= q + 1 AND array_to_string(w[1:j], ' ') = array_to_string(list_append(
 GROUP BY ALL""",
 )
 def rule_detectors(spark, d):
-    _, patterns = events_and_patterns(spark, d)
-    return rules.rule_detectors(small_rules(spark), patterns)
+    """The automaton of every condition of the fitted rules."""
+    _, patterns, _, conditions = event_rules(spark, d)
+    return rules.rule_detectors(conditions, patterns)
 
 
 # --- Evaluation ----------------------------------------------------------------------------
@@ -356,31 +352,54 @@ def misclassified(spark, d):
 # --- Trees ---------------------------------------------------------------------------------
 
 
-def split_features(spark, d):
-    """Feature rows with a train/test split within each class."""
-    rows, _, _ = event_features(spark, d)
-    grouped = rows.withColumn("grp", F.col("label"))
-    return durable(stratified_split(grouped, "trace_id").drop("grp"))
+DEPTHS = (2, 3, 4, 6, 8, 10)
+
+_GRID_SQL = (
+    LABELLED_SQL + FOLDED + tree_sql(max(DEPTHS)) + ", folded AS (SELECT trace_id, label, fold, fold AS tree FROM dealt)"
+    + walked("folded", max(DEPTHS), "trace_id, label, fold")
+    + f""", cut AS (
+  SELECT fold, d.depth, trace_id, label, arg_max(cls, said.depth) AS cls FROM said JOIN (SELECT unnest({list(DEPTHS)}) AS depth) d ON said.depth <= d.depth GROUP BY ALL),
+per AS (
+  SELECT fold, depth, label, count(*) AS support, count(*) FILTER (WHERE cls = label) AS hits FROM cut GROUP BY ALL),
+told AS (SELECT fold, depth, cls AS label, count(*) AS told FROM cut GROUP BY ALL),
+f AS (
+  SELECT depth, avg(f1) AS f1 FROM (
+    SELECT fold, depth, sum(support * 2.0 * hits / (support + coalesce(told, 0))) / sum(support) AS f1
+    FROM per LEFT JOIN told USING (fold, depth, label) GROUP BY ALL) g GROUP BY depth)
+SELECT depth AS max_depth, round(f1, 6) AS f1, row_number() OVER (ORDER BY round(f1, 9) DESC, depth) = 1 AS chosen FROM f"""
+)
 
 
-@query("tree_grid_search")
+@query("tree_grid_search", _GRID_SQL)
 def tree_grid_search(spark, d):
-    """F1 of every depth; a learned model, so no SQL."""
-    rows = split_features(spark, d).where("split = 'train'")
-    return learn.grid_report(learn.grid_search(rows), spark)
+    """F1 of every depth over stratified folds."""
+    rows = halves(event_scores(spark, d)[0]).where("split = 'train'")
+    report, _ = trees.grid_report(stratified_folds(rows, "label", "trace_id", FOLDS), "fold", FOLDS, list(DEPTHS))
+    return report.withColumn("f1", F.round("f1", 6))
 
 
-@query("tree_predictions")
+@query(
+    "tree_predictions",
+    LABELLED_SQL + TRAINED + tree_sql(TREE_DEPTH) + ", tested AS (SELECT trace_id, label, 0 AS tree FROM halves WHERE split = 'test')"
+    + walked("tested", TREE_DEPTH, "trace_id, label")
+    + " SELECT trace_id AS filename, label AS true_label, arg_max(cls, depth) AS predicted_label FROM said GROUP BY ALL",
+)
 def tree_predictions(spark, d):
     """Predictions for the test half of each class."""
-    rows = split_features(spark, d)
-    model = learn.fit_tree(rows.where("split = 'train'"), 6)
-    return learn.predict(model, rows.where("split = 'test'"))
+    rows = halves(event_scores(spark, d)[0])
+    nodes = trees.fit_trees(rows.where("split = 'train'"), TREE_DEPTH)
+    said = trees.predict_trees(rows.where("split = 'test'"), nodes, [TREE_DEPTH])
+    return said.select(F.col("trace_id").alias("filename"), F.col("label").alias("true_label"), F.col("predicted").alias("predicted_label"))
 
 
-@query("tree_rules")
+@query("tree_rules", _FITTED_SQL + " SELECT cls, rule_id, pattern_id, op, value::DOUBLE AS value FROM conditions")
 def tree_rules(spark, d):
     """The rules of a fitted tree in long form."""
-    rows = split_features(spark, d)
-    model = learn.fit_tree(rows.where("split = 'train'"), 6)
-    return learn.rule_conditions(learn.tree_rules(learn.tree_nodes(model, spark), 6))
+    return event_rules(spark, d)[3]
+
+
+@query("tree_nodes", LABELLED_SQL + TRAINED + tree_sql(TREE_DEPTH) + " SELECT node, depth, pattern_id, k, cls, n::BIGINT AS n FROM nodes")
+def tree_nodes(spark, d):
+    """A fitted tree: its splits, and class and size of every node."""
+    rows = halves(event_scores(spark, d)[0])
+    return trees.fit_trees(rows.where("split = 'train'"), TREE_DEPTH).drop("tree")
