@@ -208,3 +208,22 @@ def test_kept_lines_are_counted_without_blanks(spark):
     df = spark.createDataFrame([(0, i, x) for i, x in enumerate(lines)], "trace_id long, pos long, line string")
     stats = calls.line_stats(calls.mark_bad_lines(df)).collect()
     assert [(r.n_good, r.n_bad, r.n_kept) for r in stats] == [(2, 1, 1)]
+
+
+def test_trace_files_round_trip(spark, tmp_path):
+    """Broken, blank and missing lines; an empty file; one long trace; nothing temporary is left."""
+    from tracemill.sources.traces import list_traces, read_traces, write_traces
+
+    rows = [("a_1.json", i, f'{{"FunctionName": "f{i % 7}"}}') for i in range(5000)]
+    rows += [("b_2.json", 1, '{"FunctionName": "x"}'), ("b_2.json", 0, "{broken"), ("b_2.json", 3, ""), ("b_2.json", 5, '{"Functionname": "é"}'), ("c_3.json", 0, None)]
+    df = spark.createDataFrame(rows[::-1], "trace_id string, pos long, line string")
+    write_traces(df, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a_1.json", "b_2.json", "c_3.json"]
+    assert (tmp_path / "out" / "c_3.json").read_bytes() == b"" and (tmp_path / "out" / "b_2.json").read_text().splitlines()[0] == "{broken"
+    calls = read_traces(spark, f"file://{tmp_path}/out/*.json", ascii_names=False).collect()
+    assert [(r.pos, r.sym) for r in sorted(calls, key=lambda r: r.pos) if r.trace_id == "b_2.json"] == [(0, "x"), (1, "é")]
+    assert [r.sym for r in sorted(calls, key=lambda r: r.pos) if r.grp == "a"] == [f"f{i % 7}" for i in range(5000)]
+    assert {r.trace_id for r in list_traces(spark, f"file://{tmp_path}/out/*.json").collect()} == {"a_1.json", "b_2.json", "c_3.json"}
+    with pytest.raises(Exception, match="no file name"):
+        write_traces(spark.createDataFrame([("../x", 0, "y")], df.schema), f"file://{tmp_path}/bad")
+    assert list((tmp_path / "bad").iterdir()) == []

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from tracemill.operators import evaluation, rules, similarity, substrings, trees
 from tracemill.operators.automata import prefix_automaton
 from tracemill.operators.blocks import as_text
-from tracemill.operators.sampling import stratified_folds, stratified_split
+from tracemill.operators.dictionary import encode
+from tracemill.operators.ordering import rank_all
+from tracemill.operators.sampling import name_prefix, stratified_folds, stratified_split
+from tracemill.plans import pipeline
 from tracemill.session import durable, shared_folder
 from tracemill.sources.rules_text import parse_rules
+from tracemill.sources.traces import list_traces, read_traces, write_traces
 from tracemill.streaming import detect
 from tracemill.workload.registry import query
 from tracemill.workload.tables import (
@@ -19,10 +23,11 @@ from tracemill.workload.tables import (
     SCORES_SQL,
     SEQ_SQL,
     coded_events,
+    event_tokens,
     feature_patterns,
     load,
 )
-from tracemill.workload.tree_sql import FOLDED, FOLDS, HOLDS, LABELLED_SQL, RULES, TRAINED, tree_sql, walked
+from tracemill.workload.tree_sql import FOLDED, FOLDS, HOLDS, LABELLED_SQL, RULES, TRAINED, half_sql, tree_sql, walked
 
 
 def events_and_patterns(spark, d):
@@ -266,6 +271,80 @@ def rule_detectors(spark, d):
     return rules.rule_detectors(conditions, patterns)
 
 
+# --- Files to verdicts ---------------------------------------------------------------------
+
+
+def write_event_files(spark, d):
+    """The events as trace files, with broken and blank lines in between, and an empty file per nation."""
+    folder = f"{shared_folder(spark)}/traces-{uuid.uuid4().hex}"
+    tokens = event_tokens(spark, d)
+    name = F.concat(F.lit("g"), "grp", F.lit("_"), "trace_id", F.lit(".json"))
+    call = F.to_json(F.struct(F.col("sym").alias("FunctionName")))
+    more = F.when(F.col("pos") % 5 == 1, F.array(call, F.lit('{"FunctionName": "cut'))).when(F.col("pos") % 7 == 3, F.array(F.lit(""), call))
+    lines = tokens.select(name.alias("trace_id"), "pos", F.posexplode(F.coalesce(more, F.array(call))).alias("k", "line"))
+    lines = lines.select("trace_id", (F.col("pos") * 2 + F.col("k")).alias("pos"), "line")
+    key = F.col("n_nationkey").cast("string")
+    empty = load(spark, d, "nation").select(
+        F.concat(F.lit("g"), (F.col("n_nationkey") % 5).cast("string"), F.lit("_none"), key, F.lit(".json")).alias("trace_id"),
+        F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("line"),
+    )
+    write_traces(lines.unionByName(empty), folder)
+    return folder
+
+
+_FILES = """, files AS (
+  SELECT trace_id AS tid, 'g' || grp || '_' || trace_id || '.json' AS trace_id, 'g' || grp AS label FROM seq
+  UNION ALL SELECT NULL, 'g' || (n_nationkey % 5) || '_none' || n_nationkey || '.json', 'g' || (n_nationkey % 5) FROM nation)"""
+
+
+@query(
+    "trace_files",
+    SEQ_SQL.rstrip() + _FILES + """ SELECT f.trace_id, tok.pos, tok.sym FROM files f LEFT JOIN tok ON tok.trace_id = f.tid""",
+)
+def trace_files(spark, d):
+    """Trace files read back: broken and blank lines are skipped, empty files have a row without a call."""
+    folder = write_event_files(spark, d)
+    calls = read_traces(spark, f"{folder}/*.json").select("trace_id", "pos", "sym")
+    return list_traces(spark, f"{folder}/*.json").join(calls, "trace_id", "left")
+
+
+_DETECT_SQL = (
+    SCORES_SQL.rstrip()
+    + _FILES
+    + f""", named AS (SELECT f.trace_id, s.pattern_id, s.score FROM scores s JOIN files f ON f.tid = s.trace_id),
+halves AS ({half_sql('files')}),
+feats AS MATERIALIZED (SELECT trace_id, pattern_id, unnest(range(1, score + 1)) AS k FROM named)"""
+    + TRAINED + tree_sql(TREE_DEPTH) + RULES + HOLDS.replace("seq", "files").replace("scores s", "named s")
+    + """ SELECT h.trace_id AS filename, h.label AS true_label, h.split, coalesce(o.cls, 'unpacked') AS verdict, coalesce(o.cls, 'unpacked') AS stream_verdict
+FROM halves h LEFT JOIN holds o ON o.trace_id = h.trace_id"""
+)
+
+
+@query("pipeline_detect", _DETECT_SQL)
+def pipeline_detect(spark, d):
+    """Trace files to patterns, scores, a tree, its rules, and their verdicts in batch and on a stream."""
+    folder = write_event_files(spark, d)
+    calls = durable(read_traces(spark, f"{folder}/*.json").select("grp", "trace_id", "pos", "sym"))
+    names = durable(rank_all(list_traces(spark, f"{folder}/*.json"), ["trace_id"], "number"))
+    learned = pipeline.learn_patterns(calls)
+    coded = durable(encode(calls, learned.dictionary).select("grp", "trace_id", "pos", "sym_id"))
+    traces = names.select("trace_id", name_prefix("trace_id").alias("label"))
+    rows = halves(sparse_rows(traces, coded, learned.patterns))
+    conditions = durable(trees.tree_conditions(trees.fit_trees(rows.where("split = 'train'"), TREE_DEPTH)))
+    batch = rules.tree_verdict(rows, conditions)
+    # The stream knows traces by number; every trace ends, empty ones too.
+    numbered = coded.join(names, "trace_id").select(F.col("number").alias("trace_id"), "pos", "sym_id", F.lit(False).alias("is_end"))
+    ends = names.join(substrings.trace_lengths(coded), "trace_id", "left").select(
+        F.col("number").alias("trace_id"), F.coalesce("n", F.lit(0)).cast("long").alias("pos"), F.lit(None).cast("int").alias("sym_id"), F.lit(True).alias("is_end")
+    )
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    numbered.unionByName(ends).write.parquet(f"{work}/feed")
+    detectors = detect.Detectors(conditions, learned.patterns)
+    said = detect.run_available(spark, f"{work}/feed", work, detectors, conditions)
+    streamed = said.join(names.withColumnRenamed("trace_id", "filename"), F.col("trace_id") == F.col("number")).select("filename", F.col("verdict").alias("stream_verdict"))
+    return batch.select(F.col("trace_id").alias("filename"), F.col("label").alias("true_label"), "split", "verdict").join(streamed, "filename", "left")
+
+
 # --- Evaluation ----------------------------------------------------------------------------
 
 

@@ -9,12 +9,17 @@ def _ranked(label: str, name: str, start: int) -> str:
     return f"row_number() OVER (PARTITION BY {label} ORDER BY md5('42|' || {name}), {name}) + {start - 1}"
 
 
+def half_sql(source: str) -> str:
+    """Training and test half of each class of ``source (trace_id, label)``."""
+    return f"""
+  SELECT trace_id, label, CASE WHEN {_ranked('label', 'trace_id', 1)} <= greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.5))
+    THEN 'train' ELSE 'test' END AS split FROM {source}"""
+
+
 # Traces with their class and half, and what each reaches: pattern and prefix length.
 LABELLED_SQL = (
     SCORES_SQL.rstrip()
-    + f""", halves AS (
-  SELECT trace_id, label, CASE WHEN {_ranked('label', 'trace_id', 1)} <= greatest(1, floor(count(*) OVER (PARTITION BY label) * 0.5))
-    THEN 'train' ELSE 'test' END AS split FROM (SELECT trace_id, 'g' || grp AS label FROM seq) s),
+    + f""", halves AS ({half_sql("(SELECT trace_id, 'g' || grp AS label FROM seq) s")}),
 feats AS MATERIALIZED (SELECT trace_id, pattern_id, unnest(range(1, score + 1)) AS k FROM scores)"""
 )
 
