@@ -85,6 +85,18 @@ def test_embedding_links_equal_brute_force(spark):
     assert vectors.near_duplicates(frame(spark, [], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    a, b, other = (rng.normal(size=8) for _ in range(3))
+    near = lambda v: v + 1e-3 * rng.normal(size=8)
+    for label_of_b in (0, 1):
+        rows = [(1, a, 0), (1, b, label_of_b), (2, near(a), 0), (3, near(b), label_of_b), (None, a, 0), (4, other, 1), (4, other, 1)]
+        df = frame(spark, [(i, [float(x) for x in v], label) for i, v, label in rows], "vec_id long, embedding array<double>, label int")
+        got = sorted(map(tuple, vectors.near_duplicates(df.withColumn("class", F.lit(1)).withColumn("least", F.lit(1))).collect()), key=str)
+        want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True), (None, 0, None, None)]
+        assert got == sorted(want, key=str)
+
+
 def test_embedding_recall_at_the_threshold():
     """Pairs of a cosine of just 0.98 share a bucket of some table in at least 0.9 of the cases."""
     rng = np.random.default_rng(8)

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracemill.llm.common import map_blocks
+from tracemill.llm.common import map_blocks, release_memory
 
 # Pieces a worker keeps from block to block and from task to task.
 CACHE = 700_000
@@ -196,6 +196,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def forget() -> None:
+    """Closes the databases of this worker and gives their memory back."""
+    codec.cache_clear()
+    release_memory()
+
+
 _RUN = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
 
@@ -263,8 +269,12 @@ def encode(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str
     return map_blocks(docs, keys, text, SCHEMA, start, BLOCK)
 
 
-def encode_digests(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The same, with SHA-256 digests (of the decimal ids joined by spaces, of the decoded bytes)."""
+def encode_digests(docs: DataFrame, keys: list[str], path: str, pattern: str, text: str = "text", keep: bool = True) -> DataFrame:
+    """The same, with SHA-256 digests (of the decimal ids joined by spaces, of the decoded bytes).
+
+    Without ``keep`` a worker forgets the vocabulary and its pieces at the end of each task: slower, but the
+    memory is free for what runs next.
+    """
 
     def start():
         encoder = Encoder(path, pattern)
@@ -279,4 +289,4 @@ def encode_digests(docs: DataFrame, keys: list[str], path: str, pattern: str, te
 
         return work
 
-    return map_blocks(docs, keys, text, DIGESTS, start, BLOCK)
+    return map_blocks(docs, keys, text, DIGESTS, start, BLOCK, (lambda: None) if keep else forget)

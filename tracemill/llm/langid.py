@@ -24,7 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import map_blocks
+from tracemill.llm.common import map_blocks, text_function
+from tracemill.session import durable
 
 UND = "und"
 WINDOW = 256
@@ -180,20 +181,32 @@ def _sample_windows(texts: list, seeds: list) -> list[list[bytes]]:
     return out
 
 
+# Hashes are cut into 2^14 slices, in each of which few rows of the wanted ones lie.
+SLICE_BITS = 14
+
+
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", texts: int = TRAIN_TEXTS, seed: int = 7) -> ByteNet | None:
     """Learns from at most ``texts`` rows of each language among the rows where ``learn`` holds.
 
     The rows are those with the smallest hash of their id. None if no row can be learned from.
     """
-    ranked = (
+    known = (
         docs.where(learn & F.col(lang).isNotNull() & F.col(key).isNotNull())
-        .select(F.col(key).alias("__key"), F.col(lang).cast("string").alias("__lang"))
-        .groupBy("__key")
-        .agg(F.min("__lang").alias("__lang"))
+        .groupBy(F.col(key).alias("__key"))
+        .agg(F.min(F.col(lang).cast("string")).alias("__lang"))
         .withColumn("__hash", F.xxhash64("__key", F.lit(seed)))
+    )
+    # The smallest hashes of a language lie in its first slices: whole slices are taken as long as they
+    # are needed, so that only rows about as many as wanted are ranked.
+    known = durable(known.withColumn("__slice", F.shiftright("__hash", 64 - SLICE_BITS)))
+    sizes = known.groupBy("__lang", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy("__lang").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    needed = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).where(F.col("__before") < texts)
+    ranked = (
+        known.join(needed.select("__lang", "__slice"), ["__lang", "__slice"])
         .withColumn("__rank", F.row_number().over(W.partitionBy("__lang").orderBy("__hash", "__key")))
         .where(F.col("__rank") <= texts)
-        .drop("__rank")
+        .drop("__rank", "__slice")
     )
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(ranked), "__key")
 
@@ -247,6 +260,19 @@ def predict_texts(net: ByteNet | None, texts: list) -> tuple[list[str], list[flo
 SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
 
+def predicted(net: ByteNet | None, text: Column) -> Column:
+    """The same as a struct column of each row's text."""
+
+    def start():
+        def work(texts):
+            langs, scores = predict_texts(net, texts)
+            return {"lang_pred": langs, "score": scores}
+
+        return work
+
+    return text_function(SCHEMA, start)(text)
+
+
 def predict(docs: DataFrame, net: ByteNet | None, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` with ``lang_pred`` and ``score`` of every row's whole text."""
 

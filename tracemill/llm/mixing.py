@@ -89,14 +89,15 @@ def name_levels(df: DataFrame, levels: dict[str, Column]) -> DataFrame:
     return df.withColumns({k: F.coalesce(v.cast("string"), F.lit("(null)")) for k, v in levels.items()})
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, float]], budget: int | None, max_epochs: int = 4, seed: int = 17, key: str = "doc_id", tokens: str = "n_tokens", levels: Sequence[str] = LEVELS, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, float]], budget: int | None, max_epochs: int = 4, seed: int = 17, key: str = "doc_id", tokens: str = "n_tokens", levels: Sequence[str] = LEVELS, slice_rows: int = SLICE_ROWS, carry: Sequence[str] = ()) -> DataFrame:
     """Rows ``key, levels, epoch, start, n_tokens, take_tokens``: what each leaf reads, in its order.
 
     ``docs`` has the key, the token count and one text column per level. ``weights`` gives the weights of
-    the names of each level; without a budget it is the number of all tokens.
+    the names of each level; without a budget it is the number of all tokens. ``carry`` names columns that
+    each row keeps, such as one that tells apart rows with the same key; they also break ties.
     """
     docs = durable(
-        docs.select(F.col(key).alias("__key"), *levels, F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
+        docs.select(F.col(key).alias("__key"), *levels, *carry, F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("n_tokens"))
     )
     leaves = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("__rows"))
     for level in levels:
@@ -129,12 +130,12 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], budget: int | Non
     sums = rows.groupBy(*place).agg(F.sum("n_tokens").alias("__sum"))
     earlier = W.partitionBy(*levels, "epoch").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select(*place, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
-    inside = W.partitionBy(*place).orderBy("__hash", "__key", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*place).orderBy("__hash", "__key", "n_tokens", *carry).rowsBetween(W.unboundedPreceding, -1)
     counted = rows.join(base, place).withColumn(
         "start", F.col("epoch") * F.col("tokens") + F.col("__base") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     )
     taken = counted.where(F.col("start") < F.col("budget"))
     return taken.select(
-        F.col("__key").alias(key), *levels, F.col("epoch").cast("long").alias("epoch"), "start", "n_tokens",
+        F.col("__key").alias(key), *levels, *carry, F.col("epoch").cast("long").alias("epoch"), "start", "n_tokens",
         F.least(F.col("n_tokens"), F.col("budget") - F.col("start")).alias("take_tokens"),
     )

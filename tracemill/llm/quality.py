@@ -23,10 +23,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.llm.common import text_function
 
 BUCKETS = 1 << 17
 FACTORS = 6
@@ -195,3 +196,18 @@ def score(docs: DataFrame, machine: Machine | None, keys: list[str], text: str =
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keys] + [pa.array(values, pa.float64())], names=[*keys, "score"])
 
     return source.mapInArrow(run, schema)
+
+
+def scored(machine: Machine | None, text: Column, n_chars: Column) -> Column:
+    """The same as a struct column with the ``score`` of each row's text."""
+    shared = SparkSession.active().sparkContext.broadcast(machine)
+
+    def start():
+        model = shared.value
+
+        def work(texts, sizes):
+            return {"score": [0.5 if model is None else float(model.score([describe(t, n)])[0]) for t, n in zip(texts, sizes)]}
+
+        return work
+
+    return text_function(SCHEMA, start)(text, n_chars)

@@ -40,13 +40,13 @@ WEIGHTS = {"domain": {"web": 40.0, "books": 30.0, "code": 10.0, "other": 20.0},
 MAX_EPOCHS, MIX_SEED = 4, 17
 
 
-def mixing_tree(docs: DataFrame) -> DataFrame:
-    """The documents with their place in the tree and their token count."""
+def mixing_tree(docs: DataFrame, *carry: str) -> DataFrame:
+    """The documents with their place in the tree and their token count, and the columns of ``carry``."""
     domain = F.lit("other")
     for name, sources in DOMAINS.items():
         domain = F.when(F.col("source").isin(sources), name).otherwise(domain)
     levels = {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
-    return mixing.name_levels(docs.select("doc_id", "lang", "source", tokens_estimate("text").alias("n_tokens")), levels)
+    return mixing.name_levels(docs.select("doc_id", "lang", "source", *carry, tokens_estimate("text").alias("n_tokens")), levels)
 
 
 @query(
