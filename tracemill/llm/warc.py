@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer and its reader (operator 2).
 
-Records are sorted by page id across shards (a range sort); each shard is written by one task as gzip
+Records are sorted by page id across shards, whose bounds come from exact sums of bytes; each shard is written by one task as gzip
 members, one per record, and rolls to the next file when the compressed size is reached. Headers, ids
 and digests are made anew from the payload, with a fixed date, so the same rows give the same bytes.
 Files are written under temporary names; when a shard is complete they get their names, and last its
@@ -25,17 +25,24 @@ import io
 import json
 import os
 import zlib
+from bisect import bisect_right
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tracemill.llm.common import open_folder, shared_path
 from tracemill.operators.joins import join_spread
 from tracemill.session import durable
 
 ROLL_BYTES = 64 << 20
+# Payload bytes of a shard, which one task writes, and cells into which a span of ids is cut at a time.
+SHARD_BYTES = 32 << 20
+CELLS = 1024
 LEVEL = 1
 DATE = "2000-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -136,15 +143,68 @@ def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     return pairs.select("id", "digest", "response_id").distinct()
 
 
+_TOP = np.uint64(1 << 63)
+
+
+def _ordered(ids: pa.Array) -> np.ndarray:
+    """Longs as unsigned numbers in the same order, from 0; NULL as 0."""
+    return pa.compute.fill_null(ids, -(2**63)).to_numpy(zero_copy_only=False).view(np.uint64) ^ _TOP
+
+
+def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
+    """Ids, as unsigned numbers in their order, at which a new shard begins: from exact sums of payload bytes,
+    and so the same for the same rows.
+
+    The span of all ids is cut into equal cells; a cell with more than a shard's bytes is cut again, until
+    it holds a single id. What comes to the driver is a number of cells that the shards bound.
+    """
+    sc = pages.sparkSession.sparkContext
+    ids = pages.where(F.col("id").isNotNull()).select("id", (F.octet_length("payload") + 512).alias("size"))
+    spans, cells = [(0, 2**64 - 1)], {}
+    while spans:
+        # First and last number of the open spans, and the width of their cells; all are cut in one pass.
+        widths = [max(1, -(-(b - a + 1) // CELLS)) for a, b in spans]
+        shared = sc.broadcast(tuple(np.array(c, np.uint64) for c in ([a for a, _ in spans], [b for _, b in spans], widths)))
+
+        def cell(column: pa.Array) -> pa.Array:
+            first, last, width = shared.value
+            u = _ordered(column)
+            k = np.maximum(np.searchsorted(first, u, side="right") - 1, 0)
+            found = first[k] + (u - first[k]) // width[k] * width[k]
+            return pa.array((found ^ _TOP).view(np.int64), mask=(u < first[k]) | (u > last[k]))
+
+        cell.__annotations__ = {"column": pa.Array, "return": pa.Array}
+        sums = ids.select(arrow_udf("long")(cell)("id").alias("cell"), "size").where("cell IS NOT NULL").groupBy("cell").agg(F.sum("size").alias("size")).collect()
+        of_start = {a: (b, w) for (a, b), w in zip(spans, widths)}
+        starts = sorted(of_start)
+        open_ = []
+        for r in sums:
+            at = r["cell"] + 2**63
+            last, width = of_start[starts[bisect_right(starts, at) - 1]]
+            if r["size"] > shard_bytes and width > 1:
+                open_.append((at, min(last, at + width - 1)))
+            else:
+                cells[at] = r["size"]
+        spans = sorted(open_)
+    bounds, held = [], 0
+    for first in sorted(cells):
+        if held and held + cells[first] > shard_bytes:
+            bounds.append(first)
+            held = 0
+        held += cells[first]
+    return bounds
+
+
 def _write_shard(folder: str, roll: int):
     def run(batches):
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId()
-        writer = None
+        writer, files = None, []
         page, revisits, written = object(), {}, {}
         for b in batches:
-            for row_id, kind, digest, response, url, payload in zip(*[b.column(c) for c in ("id", "kind", "digest", "response_id", "url", "payload")]):
+            for row_shard, row_id, kind, digest, response, url, payload in zip(*[b.column(c) for c in ("shard", "id", "kind", "digest", "response_id", "url", "payload")]):
+                shard = row_shard.as_py()
+                if writer is not None and writer.shard != shard:
+                    files += writer.commit()
+                    writer, page = None, object()
                 key = row_id.as_py()
                 if key != page:
                     page, revisits, written = key, {}, {}
@@ -160,7 +220,7 @@ def _write_shard(folder: str, roll: int):
                 n = written.get(name, 0)
                 written[name] = n + 1
                 writer.write(gzip_member(make_record(key, n, url.as_py(), data, response_id, again)))
-        files = writer.commit() if writer else []
+        files += writer.commit() if writer else []
         yield pa.RecordBatch.from_arrays(
             [pa.array([f["name"] for f in files], pa.string()), pa.array([f["bytes"] for f in files], pa.int64()), pa.array([f["records"] for f in files], pa.int64())],
             names=["file", "bytes", "records"],
@@ -169,14 +229,25 @@ def _write_shard(folder: str, roll: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
-    """Writes the rows ``id, url, payload`` as WARC files and returns ``file, bytes, records`` of them all."""
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the rows ``id, url, payload`` as WARC files and returns ``file, bytes, records`` of them all.
+
+    A shard is a range of ids with about ``shard_bytes`` of payload; it is written by one task, whichever
+    partition it is in, so that files and bytes depend on the rows alone. Rows without an id are in the first.
+    """
+    bounds = shard_bounds(pages, shard_bytes)
+    shared = pages.sparkSession.sparkContext.broadcast(np.array(bounds, np.uint64))
+
+    def place(column: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(shared.value, _ordered(column), side="right").astype(np.int32))
+
+    place.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    shard = arrow_udf("int")(place)("id")
     listed = roles(pages, min_bytes).select("id", F.lit(0).alias("kind"), "digest", "response_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     records = pages.select("id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("response_id"), "url", "payload")
-    rows = listed.unionByName(records)
-    ranged = rows.repartitionByRange(shards, "id") if shards else rows.repartitionByRange("id")
+    rows = listed.unionByName(records).withColumn("shard", shard)
     # Records of one page are ordered by content, so that the shard's bytes do not depend on arrival.
-    ordered = ranged.sortWithinPartitions("id", "kind", "digest", "url", F.sha1("payload"))
+    ordered = rows.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "id", "kind", "digest", "url", F.sha1("payload"))
     return durable(ordered.mapInArrow(_write_shard(folder, roll), "file string, bytes long, records long"))
 
 
@@ -249,9 +320,9 @@ def read_archives(spark: SparkSession, folder: str, files: DataFrame, payloads:
     return dealt.mapInArrow(run, schema + (", payload binary" if payloads else ""))
 
 
-def archive(pages: DataFrame, page_id: str | Column = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll: int = ROLL_BYTES, shards: int | None = None) -> DataFrame:
+def archive(pages: DataFrame, page_id: str | Column = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0, roll: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the pages and reads them back."""
     spark = pages.sparkSession
     folder = shared_path(spark, "warc")
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
-    return read_archives(spark, folder, write_archives(rows, folder, min_bytes, roll, shards))
+    return read_archives(spark, folder, write_archives(rows, folder, min_bytes, roll, shard_bytes))
