@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.labels import DEFAULT_LABEL
 from tracemill.operators.automata import prefix_automaton
+from tracemill.session import durable, small_side
 
 OPERATORS = (">", "<=", ">=", "<", "==")
 _RULES_TYPE = (
@@ -52,8 +53,15 @@ def detector_lengths(conditions: DataFrame) -> DataFrame:
 
 
 def above(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Scores above the pattern's threshold: the pattern prefix of length ``k`` is present."""
-    return scores.join(thresholds, "pattern_id").where(F.col("score") > F.col("value"))
+    """Scores above the pattern's threshold: the pattern prefix of length ``k`` is present.
+
+    The scores meet the bare thresholds first; prefixes travel to what is left of them only. There may be a
+    score for every trace and pattern, so the scores are never the broadcast side.
+    """
+    keyed = durable(thresholds.withColumn("__nr", F.monotonically_increasing_id()))
+    bare = small_side(keyed.select("pattern_id", "value", "__nr"))
+    found = scores.hint("merge").join(bare, "pattern_id").where(F.col("score") > F.col("value"))
+    return found.drop("value").hint("merge").join(keyed.drop("pattern_id"), "__nr").drop("__nr")
 
 
 def rules_literal(conditions: DataFrame) -> Column:

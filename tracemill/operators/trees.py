@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.session import durable, small_side
+from tracemill.session import bounded_batches, durable, small_side
 
 # Scores (traces times patterns) of a node that one task may hold.
-LOCAL_CELLS = 1 << 28
-# Rows unfolded at a time by the counts of large nodes.
-SLICE = 256
+LOCAL_CELLS = 1 << 24
+# Scores unfolded at a time by the counts of large nodes.
+SLICE_CELLS = 1 << 22
 
 NODES = "tree int, node long, depth int, pattern_id long, k int, cls string, n long"
 
@@ -105,6 +105,7 @@ def fit_trees(rows: DataFrame, depth: int, trees: Column | None = None, local_ce
 
     Rows with a NULL label are not learned from; without any row there are no nodes.
     """
+    bounded_batches(rows.sparkSession)
     trees = F.array(F.lit(0)) if trees is None else trees
     spread = rows.where("label IS NOT NULL").select("trace_id", "label", "pattern_ids", "scores", F.explode(trees.cast("array<int>")).alias("tree"))
     live = durable(spread.withColumn("node", F.lit(1).cast("long")))
@@ -176,8 +177,9 @@ def _best_splits(live: DataFrame, shared) -> DataFrame:
     def count(batches):
         columns, classes = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            step = max(1, min(batch.num_rows, SLICE_CELLS // max(1, len(columns))))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 x = _dense(part.column("pattern_ids"), part.column("scores"), columns)
                 label = np.array(part.column("label").to_pylist())
                 tree, node = part.column("tree").to_numpy(), part.column("node").to_numpy()
