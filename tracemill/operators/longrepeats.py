@@ -196,6 +196,19 @@ def supermaximal_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS, min_tr
     return spelled(found, tokens).select("grp", F.col("len").cast("int").alias("len"), "gram", "n_occ", "n_traces")
 
 
+def longest_matches(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Length of the longest repeated match of each position, ``(trace_id, pos, len)``; 0 or no row if there is none.
+
+    ``tokens`` is a stored table; rows without a group have no match.
+    """
+    found = window_matches(tokens)
+    if found is not None:
+        return found[0].select("trace_id", "pos", "len")
+    places = durable(tokens.select("grp", "trace_id", "pos", "sym_id", F.monotonically_increasing_id().alias("gid")))
+    levels = _name_levels(places, heavy_rows)
+    return _longest_matches(places, levels, heavy_rows).select("trace_id", "pos", "len")
+
+
 def longest_repeated(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> int:
     """Length of the longest repeat of any group; 0 if nothing repeats."""
     tokens = durable(tokens.select("grp", "trace_id", "pos", "sym_id"))

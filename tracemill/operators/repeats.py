@@ -2,9 +2,9 @@
 
 A repeat is a subsequence with at least two occurrences in one group. All results
 come from aggregates over the gram table, so no group, trace or gram is ever
-brought together in one task. The table has one row per position and length: where a
-bound is not given, the longest repeat is looked up first by doubling, and no length is
-left out. ``tracemill.operators.longrepeats`` finds (near-)supermaximal repeats of any
+brought together in one task. With a bound the table has one row per position and length. Without one, the
+longest match of each position is found first, grams that occur once are never made, and equal ones are
+counted before they are shuffled (``repeat_grams``); no length is left out. ``tracemill.operators.longrepeats`` finds (near-)supermaximal repeats of any
 length without the gram table.
 """
 
@@ -14,18 +14,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracemill.operators.blocks import BLOCK_SIZE, as_text, grams, to_blocks
-from tracemill.operators.longrepeats import longest_repeated
+from tracemill.operators.blocks import BLOCK_SIZE, as_text, grams, own_positions, to_blocks
+from tracemill.operators.longrepeats import longest_matches
 from tracemill.operators.ordering import rank_all
 from tracemill.operators.trie import position_matches, share_tries, trie_blocks
 from tracemill.session import durable
 
+# Positions whose grams one task counts.
+TASK_POSITIONS = 200_000
+
 
 def gram_blocks(tokens: DataFrame, before: int, after: int) -> DataFrame:
     """Blocks whose margin may be of any length."""
     return to_blocks(tokens, before=before, after=after, size=max(BLOCK_SIZE, 2 * after))
 
 
+def repeat_grams(tokens: DataFrame, min_len: int) -> DataFrame:
+    """The repeats at each position, ``(grp, gram, left_sym, right_sym)``, however long.
+
+    A gram repeats exactly if it is no longer than the longest match of its position, so no other is made.
+    The positions are range-sorted by the symbols from there on: equal grams are neighbours, and are counted
+    where they are before they travel. Positions without a group go up to the longest length of all.
+    """
+    tokens = durable(tokens.select("grp", "trace_id", "pos", "sym_id"))
+    matches = durable(longest_matches(tokens))
+    total = tokens.count()
+    bound = max(min_len, matches.agg(F.max("len")).first()[0] or 0)
+    most = F.when(F.col("grp").isNull(), F.lit(bound)).otherwise(F.coalesce("len", F.lit(0))).cast("int")
+    cells = tokens.join(matches, ["trace_id", "pos"], "left").select("grp", "trace_id", "pos", F.struct("sym_id", most.alias("most")).alias("cell"))
+    blocks = to_blocks(cells, "cell", before=1, after=bound + 1, size=max(BLOCK_SIZE, 2 * (bound + 1)))
+    places = own_positions(blocks).withColumn("most", F.expr("syms[at - 1].most")).where(F.col("most") >= min_len)
+    windows = durable(
+        places.select(
+            "grp", "trace_id", "pos", "most", F.get("syms", F.col("at") - 2)["sym_id"].alias("left_sym"),
+            F.slice(F.col("syms.sym_id"), F.col("at"), F.col("most") + 1).alias("window"),
+        )
+    )
+    parts = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_POSITIONS))
+    dealt = windows.repartitionByRange(parts, "grp", "window", "trace_id", "pos")
+    room = F.least("most", F.size("window"))
+    lengths = dealt.where(room >= min_len).withColumn("len", F.explode(F.sequence(F.lit(min_len), room)))
+    return lengths.select("grp", F.slice("window", F.lit(1), F.col("len")).alias("gram"), "left_sym", F.get("window", F.col("len")).alias("right_sym"))
+
+
 def repeated_grams(tokens: DataFrame, min_len: int, max_len: int) -> DataFrame:
     """``(grp, gram, n_occ, n_traces)`` of all grams with two or more occurrences.
 
@@ -98,14 +129,9 @@ def context_histogram(tokens: DataFrame, min_len: int = 1, max_len: int | None =
 
     Without ``max_len`` all repeats are taken, however long; with it also grams that occur once.
     """
-    bound = max_len or max(min_len, longest_repeated(tokens))
-    found = grams(gram_blocks(tokens, 1, bound + 1), min_len, bound)
-    counted = found.withColumnRenamed(f"{side}_sym", "neighbour").groupBy("grp", "gram", "neighbour").agg(F.count(F.lit(1)).alias("n"))
-    if max_len:
-        return counted
-    # Stored by gram: the sum over its neighbours tells whether it repeats.
-    total = counted.groupBy("grp", "gram").agg(F.sum("n").alias("__n")).where("__n >= 2").drop("__n")
-    return counted.join(total, ["grp", "gram"], "left_semi")
+    # Rows without a group have no repeats here.
+    found = grams(gram_blocks(tokens, 1, max_len + 1), min_len, max_len) if max_len else repeat_grams(tokens.where("grp IS NOT NULL"), min_len)
+    return found.withColumnRenamed(f"{side}_sym", "neighbour").groupBy("grp", "gram", "neighbour").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repeat_profile(tokens: DataFrame, max_len: int | None = None, min_len: int = 1) -> DataFrame:
@@ -116,8 +142,7 @@ def repeat_profile(tokens: DataFrame, max_len: int | None = None, min_len: int =
     a trace border is a neighbour of its own. The totals per neighbour are taken under
     ``(gram, left)`` and ``(gram, right)``, never under the gram alone.
     """
-    max_len = max_len or max(min_len, longest_repeated(tokens))
-    found = grams(gram_blocks(tokens, 1, max_len + 1), min_len, max_len)
+    found = grams(gram_blocks(tokens, 1, max_len + 1), min_len, max_len) if max_len else repeat_grams(tokens, min_len)
     pairs = found.groupBy("grp", "gram", "left_sym", "right_sym").agg(F.count(F.lit(1)).alias("n"))
 
     def with_side(rows: DataFrame, side: str, other: str) -> DataFrame:
