@@ -2,11 +2,10 @@
 
 import random
 
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from tracemill.operators import rules, similarity, trie
+from tracemill.operators import repeats, rules, similarity, trie
+from tracemill.sources.traces import read_traces
 from tracemill.workload import learning
 
 SPARSE = "grp long, trace_id long, pattern_ids array<bigint>, scores array<int>"
@@ -77,3 +76,27 @@ def test_matches_are_dealt_by_pairs(spark, tokens, monkeypatch):
     found = similarity.match_lengths(pattern_rows(spark, [[1, 2], [2]]), df)
     assert "30), REPARTITION_BY_NUM" in plan(found)
     assert found.count() == 20 * 3
+
+
+def test_only_grams_that_repeat_are_made(spark, tokens):
+    """Seven equal symbols at the ends of two long traces: no gram of the rest is longer than its match."""
+    traces = {(0, 0): [1, 2, 3, 4, 5, 6, 7, *range(100, 140)], (0, 1): [*range(200, 240), 1, 2, 3, 4, 5, 6, 7]}
+    df = tokens(traces)
+    found = repeats.repeat_grams(df, 1)
+    assert "rangepartitioning" in plan(found)
+    assert found.count() == 2 * 28
+    got = {(tuple(r.gram), r.neighbour, r.n) for r in repeats.context_histogram(df).collect()}
+    want = set()
+    for a in range(1, 8):
+        for b in range(a, 8):
+            gram = tuple(range(a, b + 1))
+            want |= {(gram, a - 1, 2)} if a > 1 else {(gram, None, 1), (gram, 239, 1)}
+    assert got == want
+    assert [tuple(r.gram) for r in repeats.maximal_repeats(repeats.repeat_profile(df)).collect()] == [(1, 2, 3, 4, 5, 6, 7)]
+
+
+def test_trace_files_are_opened_once(spark, tmp_path):
+    (tmp_path / "a_1.json").write_text('{"FunctionName": "f"}\n\n{"FunctionName": "g"}\n')
+    found = read_traces(spark, f"{tmp_path}/*.json")
+    assert "FileScan text" not in plan(found) and "Scan text" not in plan(found)
+    assert [(r.trace_id, r.pos, r.sym) for r in found.orderBy("pos").collect()] == [("a_1.json", 0, "f"), ("a_1.json", 1, "g")]
