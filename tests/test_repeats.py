@@ -155,3 +155,23 @@ def test_join_spread_keeps_all_rows(spark):
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     inner = join_spread(left, right, ["k"], "n", ["id"], heavy_rows=10)
     assert inner.count() == left.where("k IS NOT NULL").count()
+
+
+def test_doubling_takes_only_what_full_windows_cover(tokens, monkeypatch):
+    r = random.Random(11)
+    passage = [r.randint(1, 4) for _ in range(23)]
+    traces = {(0, t): [r.randint(1, 4) for _ in range(60)] for t in range(6)}
+    traces[(0, 1)][10:33], traces[(0, 4)][30:53], traces[(0, 5)][:19] = passage, passage, passage[4:]
+    df = tokens(traces)
+    sizes, doubling = [], longrepeats.doubling_repeats
+
+    def counted(some, *rest):
+        sizes.append(some.count())
+        return doubling(some, *rest)
+
+    monkeypatch.setattr(longrepeats, "doubling_repeats", counted)
+    columns = ("grp", "len", "trace_id", "pos", "n_occ", "n_traces", "n_witness", "percent")
+    found = longrepeats.long_repeats(df, width=8)
+    assert 0 < sizes[0] < 200
+    want = {tuple(x) for x in doubling(df).select(*columns).collect()}
+    assert {tuple(x) for x in found.select(*columns).collect()} == want
