@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import bpe, langid, mixing, overlap, quality, queries
+from tracemill.llm import bpe, langid, mixing, overlap, quality, queries, simhash
 from tracemill.llm.common import free_name, in_fold, shared_path, table, with_row_key
 
 # A language is accepted with this probability or more; with four languages a guess has 0.25.
@@ -50,10 +50,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of texts whose 5-word shingles agree to 0.8."""
+    """Keeps the document with the smallest id of each group of near-duplicates.
+
+    Texts are linked whose SimHash fingerprints differ in two bits at most, as in operator 5, and those whose 5-word
+    shingles agree to 0.8, which two bits do not reach.
+    """
     row = free_name(docs, "__row")
     rows = with_row_key(docs, row)
-    kept = overlap.near_duplicates(rows, row=row)
+    kept = overlap.near_duplicates(rows, row=row, prints_linked=simhash.fingerprint_links)
     return rows.join(kept.select(row), row, "left_semi").drop(row)
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tracemill.llm import overlap
+from tracemill.llm import overlap, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +68,24 @@ def test_groups_equal_brute_force(spark, few):
     want = survivors(texts)
     assert sorted(r["doc_id"] for r in got.collect()) == want and 5 < len(want) < len(texts)
     assert overlap.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_fingerprints_link_too(spark):
+    """Texts whose fingerprints are within two bits are near-duplicates, whatever their sets say; a chain over both kinds is one group."""
+    rng = np.random.default_rng(9)
+    body = [f"w{i}" for i in range(9)]
+    # The repeated passage decides the fingerprint; what is around it makes the sets differ.
+    texts = [" ".join([*body * 40, *(f"a{rng.integers(10**6)}" for _ in range(12))]) for _ in range(3)]
+    words = [f"v{rng.integers(10**6)}" for _ in range(200)]
+    texts += [" ".join(words), edited(rng, words, 0.8, 0.83), "quite another text", None, " "]
+    prints = [simhash.fingerprint(t) & (2**64 - 1) for t in texts]
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2
+    assert any(near(0, j) and similarity(texts[0], texts[j]) < 0.8 for j in (1, 2)) and not near(3, 4)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (near(i, j) or similarity(texts[i], texts[j]) >= 0.8):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    kept = stage(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group)) and len(set(group)) < len(survivors(texts))

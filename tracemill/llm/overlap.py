@@ -8,8 +8,9 @@ are frequent in a sample last, so that common lines and passages rarely bring te
 Texts with equal sets are one class. Up to ``FEW`` classes that share a prefix shingle are paired; shingles
 of larger buckets are put last and the prefixes taken again, and what is still large then becomes a star
 of candidates. Candidates that hang together are compared in tiles of bounded size on their whole sets;
-the links of a tile are a spanning forest. Fingerprints cannot do this: copies with a similarity of
-0.8 are ten and more of 64 bits apart, where a vantage-point tree no longer cuts anything off.
+the links of a tile are a spanning forest. SimHash fingerprints alone cannot do this: copies with a
+similarity of 0.8 are ten and more of 64 bits apart, where a vantage-point tree no longer cuts anything off.
+Their links can be joined to these (``prints_linked``); both kinds then make the groups.
 
 Defined cases: NULL and blank texts have the empty set and are copies of each other. A text with fewer
 words than a shingle is one shingle. Rows are told apart by key and text: rows with a NULL key, or
@@ -18,6 +19,8 @@ with the key of another text, are judged by their own text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,7 +30,8 @@ from pyspark.sql import types as T
 
 from tracemill.llm.common import map_blocks, text_blocks
 from tracemill.llm.components import components
-from tracemill.llm.simhash import _find, _unite, shingle_hashes
+from tracemill.llm.simhash import _find, _unite, fingerprint, shingle_hashes
+from tracemill.operators.joins import join_spread
 from tracemill.session import durable, small_side
 
 # Classes of a bucket that are paired one by one, and classes in half a tile.
@@ -223,10 +227,24 @@ def refined(classes: DataFrame, docs: DataFrame, frequent: tuple[np.ndarray, np.
     return durable(classes.join(again, "sig", "left").withColumn("firsts", F.coalesce("again", "firsts")).drop("again")), better
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, few: int = FEW, tile: int = TILE, row: str | None = None) -> DataFrame:
+def print_links(marks: DataFrame, prints_linked: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` between classes ``sig`` whose fingerprints ``fp`` are equal or linked, as stars."""
+    points = durable(marks.groupBy("fp").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("__n")))
+    equal = join_spread(marks.select("fp", "sig"), points, ["fp"], "__n", ["sig"], heavy_rows=10_000).select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    ends = prints_linked(points, points.count())
+    for end in ("a", "b"):
+        ends = ends.join(points.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}")), end)
+    return equal.union(ends.select("first_a", "first_b")).where("a <> b")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, few: int = FEW, tile: int = TILE, row: str | None = None, prints_linked: Callable[[DataFrame, int], DataFrame] | None = None
+) -> DataFrame:
     """``key, __text_key`` of one row, that with the smallest key, of each group of linked texts.
 
     ``row`` names a column that tells every row from every other one; it breaks ties and is returned too.
+    ``prints_linked`` gives links ``(a, b)`` between distinct SimHash fingerprints ``fp`` from them and their number, such
+    as ``simhash.fingerprint_links``; they link the texts that have these fingerprints as well.
     """
     extra = [row] if row else []
     docs = docs.select(key, *extra, F.col(text).cast("string").alias("text"))
@@ -234,14 +252,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     frequent = frequent_shingles(docs, "text", size)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     kinds = [T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType()))]
+    kinds += [T.StructField("fp", T.LongType())] if prints_linked else []
 
     def work(texts):
         found = [shingle_set(t, size) for t in texts]
-        return {"sig": [signature(f) for f in found], "n": [len(f) for f in found], "firsts": pa.array([prefix(f, shared.value).view(np.int64) for f in found], pa.list_(pa.int64()))}
+        columns = {"sig": [signature(f) for f in found], "n": [len(f) for f in found], "firsts": pa.array([prefix(f, shared.value).view(np.int64) for f in found], pa.list_(pa.int64()))}
+        return columns | ({"fp": [fingerprint(t) for t in texts]} if prints_linked else {})
 
     prints = map_blocks(docs, [key, "__text_key", *extra], "text", T.StructType(kinds), lambda: work)
     least = F.min(F.struct(F.col(key).isNull(), F.col(key), F.col("__text_key"), *[F.col(c) for c in extra]))
-    classes = durable(prints.groupBy("sig").agg(least.alias("least"), F.min("__text_key").alias("text_key"), F.first("n").alias("n"), F.first("firsts").alias("firsts")))
+    same = [F.first("n").alias("n"), F.first("firsts").alias("firsts")]
+    if prints_linked:
+        # Texts of a class may differ in how often they repeat a shingle, and so in their fingerprints.
+        marks = durable(prints.groupBy("sig", "fp").agg(least.alias("least"), F.min("__text_key").alias("text_key"), *same))
+        classes = durable(marks.groupBy("sig").agg(F.min("least").alias("least"), F.min("text_key").alias("text_key"), *same))
+    else:
+        classes = durable(prints.groupBy("sig").agg(least.alias("least"), F.min("__text_key").alias("text_key"), *same))
     ordered = classes.select("sig", "text_key", "n", "firsts")
     for _ in range(ROUNDS):
         ordered, frequent = refined(ordered, docs, frequent, size, few)
@@ -259,6 +285,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # Candidates that hang together are compared together: every set is read once for each block it meets.
     members = components(pairs.select("a", "b")).select("root", F.col("node").alias("sig"))
     links = tile_links(durable(members.join(classes.select("sig", "n"), "sig")), sets, tile)
+    if prints_linked:
+        links = links.union(print_links(marks, prints_linked))
     linked = components(durable(links)).select(F.col("node").alias("sig"), "root")
     groups = classes.select("sig", "least").join(linked, "sig", "left").groupBy(F.coalesce("root", "sig")).agg(F.min("least").alias("least"))
     return groups.select(F.col(f"least.{key}").alias(key), F.col("least.__text_key").alias("__text_key"), *[F.col(f"least.{c}").alias(c) for c in extra])
