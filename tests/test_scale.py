@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracemill.operators import repeats, rules, similarity, trie
+from tracemill.operators import joins, longrepeats, repeats, rules, similarity, trie
 from tracemill.sources.traces import read_traces
 from tracemill.workload import learning
 
@@ -100,3 +100,23 @@ def test_trace_files_are_opened_once(spark, tmp_path):
     found = read_traces(spark, f"{tmp_path}/*.json")
     assert "FileScan text" not in plan(found) and "Scan text" not in plan(found)
     assert [(r.trace_id, r.pos, r.sym) for r in found.orderBy("pos").collect()] == [("a_1.json", 0, "f"), ("a_1.json", 1, "g")]
+
+
+def test_plans_do_not_grow_with_the_longest_repeat(spark, tokens):
+    """The driver's work on a plan is the same however many doublings there are."""
+    r = random.Random(5)
+    seq = [r.randint(1, 4) for _ in range(70)]
+    found = longrepeats.doubling_repeats(tokens({(0, 0): seq, (0, 1): seq}))
+    assert plan(found).count("FileScan parquet") <= 4
+    assert [(x.len, x.n_occ, x.n_traces) for x in found.where("n_witness = n_occ AND len > 30").collect()] == [(70, 2, 2)]
+
+
+def test_stored_sides_without_heavy_keys_are_joined_plainly(spark):
+    left = spark.createDataFrame([(k % 5 or None, i) for i, k in enumerate(range(40))], "k long, i long")
+    right = spark.createDataFrame([(k, 8, k * 10) for k in range(1, 4)], "k long, n long, v long")
+    for how in ("inner", "left"):
+        light = joins.join_spread(left, right, ["k"], "n", ["i"], how=how, stored=True)
+        want = sorted(joins.join_spread(left, right, ["k"], "n", ["i"], how=how, heavy_rows=3).collect(), key=lambda x: x.i)
+        assert sorted(light.collect(), key=lambda x: x.i) == want
+        assert len(want) == (24 if how == "inner" else 40)
+        assert "__parts" not in plan(light)

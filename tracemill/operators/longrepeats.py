@@ -32,15 +32,15 @@ def _name_levels(places: DataFrame, heavy_rows: int) -> list[DataFrame]:
     levels = []
     keyed, keys = places, ["grp", "sym_id"]
     while True:
-        classes = keyed.groupBy(*keys).agg(F.min("gid").alias("name"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-        named = join_spread(keyed, classes, keys, "n", ["gid"], heavy_rows=heavy_rows)
+        classes = durable(keyed.groupBy(*keys).agg(F.min("gid").alias("name"), F.count(F.lit(1)).alias("n")).where("n >= 2"))
+        named = join_spread(keyed, classes, keys, "n", ["gid"], heavy_rows=heavy_rows, stored=True)
         level = durable(named.select("trace_id", "pos", "gid", "name"))
-        if level.limit(1).count() == 0:
+        if level.isEmpty():
             return levels
         levels.append(level)
         step = 1 << (len(levels) - 1)
         following = level.select("trace_id", (F.col("pos") - step).alias("pos"), F.col("name").alias("second"))
-        keyed, keys = level.withColumnRenamed("name", "first").join(following, ["trace_id", "pos"]), ["first", "second"]
+        keyed, keys = durable(level.withColumnRenamed("name", "first").join(following, ["trace_id", "pos"])), ["first", "second"]
 
 
 def _longest_matches(places: DataFrame, levels: list[DataFrame], heavy_rows: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _longest_matches(places: DataFrame, levels: list[DataFrame], heavy_rows: int
             .where("weight >= 2")
         )
         steps = classes.where("wanted").select(*keys, "n", F.col("first.gid").alias("longer"))
-        joined = join_spread(tried, steps, keys, "n", ["gid"], how="left", heavy_rows=heavy_rows)
+        joined = join_spread(tried, steps, keys, "n", ["gid"], how="left", heavy_rows=heavy_rows, stored=True)
         grows = F.col("longer").isNotNull()
         moved = joined.where(grows | ~F.col("stand_in")).select(
             "grp", "trace_id", "pos", "gid",
@@ -155,9 +155,12 @@ def doubling_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFra
         .select("grp", "len", "cur", "n_witness", "place.trace_id", "place.pos", "level")
         .withColumn("shift", F.expr("len - shiftleft(CAST(1 AS BIGINT), level)"))
     )
-    names = reduce(
-        DataFrame.unionByName,
-        [level.select(F.lit(i).alias("level"), "trace_id", "pos", "name") for i, level in enumerate(levels)],
+    # Stored as one table, and the steps below one by one: a plan over all levels at once is a burden for the driver.
+    names = durable(
+        reduce(
+            DataFrame.unionByName,
+            [level.select(F.lit(i).alias("level"), "trace_id", "pos", "name") for i, level in enumerate(levels)],
+        )
     )
     at_start = names.withColumnRenamed("name", "first")
     at_end = names.select("level", "trace_id", F.col("pos").alias("end"), F.col("name").alias("second"))
@@ -170,15 +173,15 @@ def doubling_repeats(tokens: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFra
     # Every position of a class looks for the lengths of the repeats that start with this class, as
     # far as its own longest match reaches.
     sizes = at_start.groupBy("level", "first").agg(F.count(F.lit(1)).alias("n"))
-    shifts = wanted.select("level", "first", "shift").distinct().join(sizes, ["level", "first"])
+    shifts = durable(wanted.select("level", "first", "shift").distinct().join(sizes, ["level", "first"]))
     reach = at_start.join(state.select("trace_id", "pos", F.col("len").alias("reach")), ["trace_id", "pos"])
     tried = (
-        join_spread(reach, shifts, ["level", "first"], "n", ["trace_id", "pos"], heavy_rows=heavy_rows)
+        join_spread(reach, shifts, ["level", "first"], "n", ["trace_id", "pos"], heavy_rows=heavy_rows, stored=True)
         .where("shift + shiftleft(CAST(1 AS BIGINT), level) <= reach")
         .withColumn("end", F.col("pos") + F.col("shift"))
         .join(at_end, ["level", "trace_id", "end"])
     )
-    counted = (
+    counted = durable(
         tried.groupBy("level", "first", "shift", "second", "trace_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("level", "first", "shift", "second")
