@@ -7,45 +7,39 @@ numbers, so that every engine ranks alike. Of equal worths the smallest pattern,
 is taken. A node is split if that makes it purer. Its class is the most frequent one, of equal ones that
 which sorts first.
 
-Several trees grow at once, such as those of all folds. A level is one count of ``(tree, node, pattern, k,
-class)``, taken where the traces are and added up; zeros are implied. Nodes whose traces fit into one
+Several trees grow at once, such as those of all folds. A level is one count of ``(tree, node, pattern, score,
+class)``, taken where the traces are and added up; zeros are implied. Nodes whose scores fit into one
 task are finished there, all levels at once, with the same arithmetic.
 
-Tables: ``rows (trace_id, label, pattern_ids, scores)``, sparse, ids ascending; ``nodes (tree, node, depth,
+Tables: ``rows (trace_id, label, pattern_ids, scores)``, sparse, ids ascending. They may have ``floors``: a pattern
+is then listed for traces that go beyond its first ``floors`` symbols only, and no split asks for so few of them,
+since they are also the start of a smaller pattern (``similarity.own_scores``). ``nodes (tree, node, depth,
 pattern_id, k, cls, n)``, where node 1 is the root, ``2 i`` lacks the prefix of node ``i`` and ``2 i + 1`` has
 it, and leaves have no pattern. A tree cut at any depth is the tree that would have been grown to it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from tracemill.session import bounded_batches, durable, small_side
 
-# Scores (traces times patterns) of a node that one task may hold.
-LOCAL_CELLS = 1 << 24
-# Scores unfolded at a time by the counts of large nodes.
-SLICE_CELLS = 1 << 22
+# Scores listed for the traces of a node that one task may hold.
+LOCAL_CELLS = 1 << 21
+# Scores taken from a batch, and splits rated, at a time.
+SLICE_CELLS = 1 << 18
 
 NODES = "tree int, node long, depth int, pattern_id long, k int, cls string, n long"
 
 
-def _dense(ids: pa.ListArray, scores: pa.ListArray, columns: np.ndarray) -> np.ndarray:
-    """Score rows over ``columns``, sorted pattern ids."""
-    sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    out = np.zeros((len(sizes), len(columns)), np.int32)
-    flat = ids.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    out[row, np.searchsorted(columns, flat)] = scores.flatten().to_numpy(zero_copy_only=False)
-    return out
-
-
 def _worth(right: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Worth of splits with ``right[c]`` rows of each class on the right of ``total[c]``; -1 where a side is empty
     or nothing gets purer. All numbers are whole."""
@@ -62,35 +56,65 @@ def _worth(right: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(purer, top * 1000 // sides, -1)
 
 
-def _grow(x: np.ndarray, columns: np.ndarray, labels: np.ndarray, classes: list[str], node: int, depth: int, most: int) -> list[tuple]:
-    """Nodes of the subtree at ``node``, ``(node, depth, pattern_id, k, cls, n)``, from its dense rows."""
+def _worths(right: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``_worth`` of many splits, a bounded number at a time."""
+    step = SLICE_CELLS // max(1, len(total))
+    parts = [_worth(right[:, at : at + step], total).astype(np.int64) for at in range(0, right.shape[1], step)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
+@dataclass
+class Entries:
+    """Scores in the order of pattern and score, one entry each: row, pattern, score, and the pattern's floor."""
+
+    row: np.ndarray
+    pattern: np.ndarray
+    score: np.ndarray
+    floor: np.ndarray
+
+    def of(self, some: np.ndarray) -> "Entries":
+        return Entries(self.row[some], self.pattern[some], self.score[some], self.floor[some])
+
+
+def _best(entries: Entries, labels: np.ndarray, total: np.ndarray) -> tuple[int, int] | None:
+    """The best split ``(pattern, k)`` of the rows that ``entries`` belong to, if there is any."""
+    if not len(entries.row):
+        return None
+    pattern, score = entries.pattern, entries.score
+    fresh = np.r_[True, pattern[1:] != pattern[:-1]]
+    # Every score that occurs is a split: the smallest ``k`` that tells it from the scores below.
+    first = np.flatnonzero(fresh | np.r_[True, score[1:] != score[:-1]])
+    group = np.cumsum(fresh[first]) - 1
+    ends = np.r_[np.flatnonzero(fresh[first])[1:], len(first)][group]
+    counts = np.stack([np.add.reduceat((labels[entries.row] == c).astype(np.int64), first) for c in range(len(total))])
+    behind = np.concatenate([np.cumsum(counts[:, ::-1], axis=1)[:, ::-1], np.zeros((len(total), 1), np.int64)], axis=1)
+    worth = _worths(behind[:, :-1] - behind[:, ends], total)
+    at = int(np.argmax(worth))
+    if worth[at] < 0:
+        return None
+    below = entries.floor[first[at]] if fresh[first[at]] else score[first[at - 1]]
+    return int(pattern[first[at]]), int(below) + 1
+
+
+def _grow(entries: Entries, labels: np.ndarray, classes: list[str], node: int, depth: int, most: int) -> list[tuple]:
+    """Nodes of the subtree at ``node``, ``(node, depth, pattern_id, k, cls, n)``, from the scores of its rows."""
     out = []
-    todo = [(node, depth, np.arange(len(labels)))]
+    todo = [(node, depth, np.arange(len(labels)), entries)]
     while todo:
-        node, depth, rows = todo.pop()
+        node, depth, rows, mine = todo.pop()
         total = np.bincount(labels[rows], minlength=len(classes))
-        split = None
-        if depth < most and (total > 0).sum() > 1 and len(columns):
-            mine = x[rows]
-            top = int(mine.max())
-            best = None
-            if top:
-                by_class = [mine[labels[rows] == c] for c in range(len(classes))]
-                for k in range(1, top + 1):
-                    worth = _worth(np.stack([(m >= k).sum(axis=0) for m in by_class]), total)
-                    at = int(np.argmax(worth))
-                    if worth[at] >= 0 and (best is None or (-worth[at], at, k) < best):
-                        best = (-worth[at], at, k)
-            if best:
-                split = best[1], best[2]
+        split = _best(mine, labels, total) if depth < most and (total > 0).sum() > 1 else None
         cls = classes[int(total.argmax())]
         if split is None:
             out.append((node, depth, None, None, cls, len(rows)))
             continue
-        at, k = split
-        out.append((node, depth, int(columns[at]), k, cls, len(rows)))
-        has = x[rows, at] >= k
-        todo += [(2 * node, depth + 1, rows[~has]), (2 * node + 1, depth + 1, rows[has])]
+        pattern, k = split
+        out.append((node, depth, pattern, k, cls, len(rows)))
+        has = np.zeros(len(labels), bool)
+        low, high = np.searchsorted(mine.pattern, [pattern, pattern + 1])
+        has[mine.row[low:high][mine.score[low:high] >= k]] = True
+        on = has[mine.row]
+        todo += [(2 * node, depth + 1, rows[~has[rows]], mine.of(~on)), (2 * node + 1, depth + 1, rows[has[rows]], mine.of(on))]
     return out
 
 
@@ -107,17 +131,16 @@ def fit_trees(rows: DataFrame, depth: int, trees: Column | None = None, local_ce
     """
     bounded_batches(rows.sparkSession)
     trees = F.array(F.lit(0)) if trees is None else trees
-    spread = rows.where("label IS NOT NULL").select("trace_id", "label", "pattern_ids", "scores", F.explode(trees.cast("array<int>")).alias("tree"))
+    floors = F.col("floors") if "floors" in rows.columns else F.transform("scores", lambda x: F.lit(0))
+    spread = rows.where("label IS NOT NULL").select(
+        "trace_id", "label", "pattern_ids", "scores", floors.cast("array<int>").alias("floors"), F.explode(trees.cast("array<int>")).alias("tree")
+    )
     live = durable(spread.withColumn("node", F.lit(1).cast("long")))
-    # The classes, and the patterns that occur: the model's width.
+    # The classes: the model's width.
     classes = sorted(r[0] for r in live.select("label").distinct().collect())
-    seen = durable(live.select(F.explode("pattern_ids").alias("pattern_id")).distinct())
-    columns = np.sort(seen.toArrow()["pattern_id"].to_numpy())
     if not classes:
         return rows.sparkSession.createDataFrame([], NODES)
-    sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast((columns, classes))
-    most_rows = max(1, local_cells // max(1, len(columns)))
+    shared = rows.sparkSession.sparkContext.broadcast(classes)
     done: list[DataFrame] = []
     level = 0
     while True:
@@ -125,10 +148,11 @@ def fit_trees(rows: DataFrame, depth: int, trees: Column | None = None, local_ce
             # No more splits: only the classes are wanted.
             done.append(_leaves(live, level))
             break
-        sized = durable(live.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("__n")))
-        small = sized.where(F.col("__n") <= most_rows)
+        cells = F.sum(F.greatest(F.size("pattern_ids"), F.lit(0)))
+        sized = durable(live.groupBy("tree", "node").agg(cells.alias("__n")))
+        small = sized.where(F.col("__n") <= local_cells)
         done.append(_finish(live.join(small_side(small.drop("__n")), ["tree", "node"]), shared, level, depth))
-        large = sized.where(F.col("__n") > most_rows)
+        large = sized.where(F.col("__n") > local_cells)
         if large.isEmpty():
             break
         live = durable(live.join(small_side(large.drop("__n")), ["tree", "node"]))
@@ -158,56 +182,70 @@ def _finish(rows: DataFrame, shared, level: int, depth: int) -> DataFrame:
     """Subtrees of nodes whose rows fit into a task, each grown there."""
 
     def grow(key, group):
-        columns, classes = shared.value
-        group = group.combine_chunks()
-        labels = np.searchsorted(np.array(classes), np.array(group["label"].to_pylist()))
-        ids, scores = group["pattern_ids"].combine_chunks(), group["scores"].combine_chunks()
-        found = _grow(_dense(ids, scores, columns), columns, labels, classes, key[1].as_py(), level, depth)
+        classes = shared.value
+        labels = np.searchsorted(np.array(classes), group["label"].combine_chunks().to_numpy(zero_copy_only=False).astype(str))
+        ids = group["pattern_ids"].combine_chunks()
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = lambda c: group[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        entries = Entries(row, flat("pattern_ids"), flat("scores"), flat("floors"))
+        entries = entries.of(np.lexsort((entries.score, entries.pattern)))
+        found = _grow(entries.of(entries.score > entries.floor), labels, classes, key[1].as_py(), level, depth)
         tree = key[0].as_py()
         names = ["tree", "node", "depth", "pattern_id", "k", "cls", "n"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*[(tree, *f) for f in found]), kinds)], names=names)
 
-    return rows.select("tree", "node", "label", "pattern_ids", "scores").groupBy("tree", "node").applyInArrow(grow, NODES)
+    return rows.select("tree", "node", "label", "pattern_ids", "scores", "floors").groupBy("tree", "node").applyInArrow(grow, NODES)
 
 
 def _best_splits(live: DataFrame, shared) -> DataFrame:
     """``(tree, node, pattern_id, k)`` of every large node that can be split."""
 
     def count(batches):
-        columns, classes = shared.value
+        classes = np.array(shared.value)
         for batch in batches:
-            step = max(1, min(batch.num_rows, SLICE_CELLS // max(1, len(columns))))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                x = _dense(part.column("pattern_ids"), part.column("scores"), columns)
-                label = np.array(part.column("label").to_pylist())
+            sizes = batch.column("pattern_ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_CELLS)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = batch.slice(low, high - low)
+                row = np.repeat(np.arange(high - low), sizes[low:high])
+                flat = lambda c: part.column(c).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                label = np.searchsorted(classes, part.column("label").to_numpy(zero_copy_only=False).astype(str))
                 tree, node = part.column("tree").to_numpy(), part.column("node").to_numpy()
-                kinds = np.unique(np.stack([tree, node]), axis=1)
-                for t, i in kinds.T.tolist():
-                    for c in classes:
-                        mine = x[(tree == t) & (node == i) & (label == c)]
-                        for k in range(1, int(mine.max()) + 1 if mine.size else 0):
-                            n = (mine >= k).sum(axis=0)
-                            some = np.flatnonzero(n)
-                            m = len(some)
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(m, t, np.int32)), pa.array(np.full(m, i)), pa.array(columns[some]), pa.array(np.full(m, k, np.int32)), pa.array([c] * m, pa.string()), pa.array(n[some])],
-                                names=["tree", "node", "pattern_id", "k", "label", "n"],
-                            )
-
-    found = live.select("tree", "node", "label", "pattern_ids", "scores").mapInArrow(count, "tree int, node long, pattern_id long, k int, label string, n long")
-    split = ["tree", "node", "pattern_id", "k"]
-    counts = found.groupBy(*split, "label").agg(F.sum("n").alias("n"))
+                pattern, score, floor = flat("pattern_ids"), flat("scores"), flat("floors")
+                keys = (label[row], score, floor, pattern, node[row], tree[row])
+                order = np.lexsort(keys)
+                order = order[score[order] > floor[order]]
+                keys = [k[order] for k in keys]
+                first = np.flatnonzero(np.any([np.r_[True, k[1:] != k[:-1]] for k in keys], axis=0)) if len(order) else order
+                n = np.diff(np.r_[first, len(order)])
+                kinds = (None, pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+                said, scores, floors, patterns, nodes, trees = (pa.array(k[first] if t else classes[k[first]].tolist(), t or pa.string()) for k, t in zip(keys, kinds))
+                yield pa.RecordBatch.from_arrays(
+                    [trees, nodes, patterns, floors, scores, said, pa.array(n, pa.int64())], names=["tree", "node", "pattern_id", "floor", "score", "label", "n"]
+                )
+
+    schema = "tree int, node long, pattern_id long, floor int, score int, label string, n long"
+    found = live.select("tree", "node", "label", "pattern_ids", "scores", "floors").mapInArrow(count, schema)
+    own = ["tree", "node", "pattern_id", "floor"]
+    # Dealt by pattern once: all that follows stays there.
+    counts = found.groupBy(*own, "score", "label").agg(F.sum("n").alias("n")).repartition("tree", "node", "pattern_id")
     whole = T.DecimalType(38, 0)
     totals = durable(live.groupBy("tree", "node", "label").agg(F.count(F.lit(1)).alias("t")))
     node = totals.groupBy("tree", "node").agg(F.sum("t").alias("rows"), F.sum(F.col("t").cast(whole) * F.col("t")).alias("squares"))
+    # Every score that occurs is a split: the smallest ``k`` that tells it from the scores below. What lies on its
+    # right is added up from the highest score on; so are the squares of the classes' rows, by what each score adds.
+    down = W.partitionBy(*own).orderBy(F.desc("score"))
+    of_class = W.partitionBy(*own, "label").orderBy(F.desc("score"))
+    upto = F.sum("n").over(of_class).cast(whole)
     sides = (
         counts.join(small_side(totals), ["tree", "node", "label"])
-        .groupBy(*split)
-        .agg(
-            F.sum("n").alias("r"), F.sum(F.col("n").cast(whole) * F.col("n")).cast(whole).alias("a"),
-            F.sum(F.col("n").cast(whole) * F.col("t")).cast(whole).alias("cross"),
+        .withColumn("more", (upto * upto - (upto - F.col("n")) * (upto - F.col("n"))).cast(whole))
+        .groupBy(*own, "score")
+        .agg(F.sum("n").alias("n"), F.sum("more").cast(whole).alias("more"), F.sum(F.col("n").cast(whole) * F.col("t")).cast(whole).alias("both"))
+        .select(
+            "tree", "node", "pattern_id", (F.coalesce(F.lead("score").over(down), "floor") + 1).alias("k"),
+            F.sum("n").over(down).alias("r"), F.sum("more").over(down).cast(whole).alias("a"), F.sum("both").over(down).cast(whole).alias("cross"),
         )
         .join(small_side(durable(node)), ["tree", "node"])
         .withColumn("l", F.col("rows") - F.col("r"))
@@ -229,18 +267,27 @@ def predict_trees(rows: DataFrame, nodes: DataFrame, depths: list[int], tree: st
     model: dict[int, dict[int, tuple]] = {}
     for r in nodes.select("tree", "node", "pattern_id", "k", "cls").toLocalIterator():
         model.setdefault(r["tree"], {})[r["node"]] = (r["pattern_id"], r["k"], r["cls"])
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    asked = np.array(sorted({p for own in model.values() for p, _, _ in own.values() if p is not None}), np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((model, asked))
     source = rows.select("*", (F.col(tree).cast("int") if tree else F.lit(0)).alias("__tree"))
     schema = T.StructType([*rows.schema.fields, T.StructField("depth", T.IntegerType()), T.StructField("predicted", T.StringType())])
 
     names = list(rows.columns)
 
     def walk(batches):
+        model, asked = shared.value
         for batch in batches:
             row, at, said = [], [], []
-            ids, scores = batch.column("pattern_ids").to_pylist(), batch.column("scores").to_pylist()
-            for i, (t, p, s) in enumerate(zip(batch.column("__tree").to_pylist(), ids, scores)):
-                own, found = shared.value.get(t, {}), dict(zip(p or (), s or ()))
+            # Only the scores that the trees ask for become Python objects.
+            lists = batch.column("pattern_ids")
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            ids, scores = lists.flatten().to_numpy(zero_copy_only=False), batch.column("scores").flatten().to_numpy(zero_copy_only=False)
+            wanted = np.isin(ids, asked)
+            known: dict[int, dict] = {}
+            for i, p, s in zip(owner[wanted].tolist(), ids[wanted].tolist(), scores[wanted].tolist()):
+                known.setdefault(i, {})[p] = s
+            for i, t in enumerate(batch.column("__tree").to_pylist()):
+                own, found = model.get(t, {}), known.get(i, {})
                 node, path = 1, []
                 while node in own:
                     pattern, k, cls = own[node]

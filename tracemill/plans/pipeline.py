@@ -11,7 +11,7 @@ from tracemill.operators.dictionary import build_dictionary, encode, extend_dict
 from tracemill.operators.longrepeats import supermaximal_repeats
 from tracemill.operators.repeats import pattern_catalog
 from tracemill.operators.rules import tree_verdict
-from tracemill.operators.similarity import feature_rows, score_rows
+from tracemill.operators.similarity import feature_rows, score_paths
 from tracemill.plans.learn import grid_search, rule_conditions, tree_nodes, tree_rules
 from tracemill.session import durable
 
@@ -40,7 +40,7 @@ def score_traces(calls: DataFrame, traces: DataFrame, learned: Patterns) -> Data
     ``traces`` has ``(trace_id, label)`` and also lists traces without calls.
     """
     coded = encode(calls, learned.dictionary, unknown="mark").select("grp", "trace_id", "pos", "sym_id")
-    scores = score_rows(learned.patterns.select("pattern_id", "gram"), coded)
+    scores = score_paths(learned.patterns.select("pattern_id", "gram"), coded)
     return feature_rows(traces, scores, learned.count)
 
 
