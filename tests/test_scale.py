@@ -120,3 +120,16 @@ def test_stored_sides_without_heavy_keys_are_joined_plainly(spark):
         assert sorted(light.collect(), key=lambda x: x.i) == want
         assert len(want) == (24 if how == "inner" else 40)
         assert "__parts" not in plan(light)
+
+
+def test_matches_of_places_alike_lie_together(spark, tokens, monkeypatch):
+    """A row for every place and pattern that begin alike: pattern after pattern, so that columns store runs."""
+    r = random.Random(2)
+    df = tokens({(0, t): [r.randint(1, 4) for _ in range(400)] for t in range(4)})
+    patterns = pattern_rows(spark, [[r.randint(1, 4) for _ in range(5)] for _ in range(200)])
+    rows = [tuple(x) for x in similarity.match_lengths(patterns, df).select("pattern_id", "trace_id", "pos", "match_len").collect()]
+    changes = sum(a[0] != b[0] for a, b in zip(rows, rows[1:]))
+    assert len(rows) > 50_000 and changes < len(rows) / 5
+    monkeypatch.setattr(trie, "MATCH_ROWS", 50)
+    again = similarity.match_lengths(patterns, df).select("pattern_id", "trace_id", "pos", "match_len").where("trace_id = 1").collect()
+    assert sorted(map(tuple, again)) == sorted(x for x in rows if x[1] == 1)
