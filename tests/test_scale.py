@@ -1,10 +1,12 @@
 """What must not grow with the traces: broadcast tables, batches, tasks."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from tracemill.operators import joins, longrepeats, repeats, rules, similarity, trie
+from tracemill.session import shared_folder
 from tracemill.sources.traces import read_traces
 from tracemill.workload import learning
 
@@ -133,3 +135,27 @@ def test_matches_of_places_alike_lie_together(spark, tokens, monkeypatch):
     monkeypatch.setattr(trie, "MATCH_ROWS", 50)
     again = similarity.match_lengths(patterns, df).select("pattern_id", "trace_id", "pos", "match_len").where("trace_id = 1").collect()
     assert sorted(map(tuple, again)) == sorted(x for x in rows if x[1] == 1)
+
+
+def test_finished_tables_of_the_doubling_are_removed(spark, tokens):
+    folder = shared_folder(spark).removeprefix("file:")
+    r = random.Random(6)
+    seq = [r.randint(1, 3) for _ in range(40)]
+    df = tokens({(0, 0): seq, (0, 1): seq, (1, 2): seq[:9]})
+    before = set(os.listdir(folder))
+    found = longrepeats.doubling_repeats(df)
+    assert len(set(os.listdir(folder)) - before) <= 2
+    assert [(x.len, x.n_occ) for x in found.where("n_witness = n_occ AND n_traces = 2").collect()] == [(40, 2)]
+
+
+def test_windows_of_wide_symbols_are_shorter(spark, tokens):
+    """A window of four-byte symbols holds as many bytes as one of single bytes; the repeats are the same."""
+    r = random.Random(7)
+    passage = [r.randint(1, 90_000) for _ in range(40)]
+    traces = {(0, t): [r.randint(1, 90_000) for _ in range(5)] + passage[t : 40 - 3 * t] + [r.randint(1, 20) for _ in range(30)] for t in range(5)}
+    df = longrepeats.durable(tokens(traces))
+    coding = longrepeats.window_matches(df).coding
+    assert (coding.size, coding.width) == (4, 16)
+    columns = ["grp", "len", "trace_id", "pos", "n_occ", "n_traces", "n_witness", "percent"]
+    found = [sorted(map(tuple, f(df).select(columns).collect())) for f in (longrepeats.long_repeats, longrepeats.doubling_repeats)]
+    assert found[0] == found[1] and {x[1] for x in found[0]} & set(range(16, 41)) and {x[1] for x in found[0]} & set(range(1, 16))
